@@ -32,6 +32,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*]*)")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip((b for b in range(256) if b not in plain), range(256, 512), strict=False))
+
+
 class ChunkIds(dict):
     """Text between spaces -> its ids as little-endian 32-bit bytes.
 
@@ -45,15 +51,18 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bound, self.parts = Tokenizer.from_file(path), bound, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def part(self, text: str) -> bytes:
+        """The ids of lower-case letters only, or of marks only: the merges alone, as nothing is left to normalise or split."""
         if (ids := self.parts.get(text)) is None:
-            if len(self.parts) >= self.bound:
+            if len(self.parts) >= 2 * self.bound:
                 self.parts.clear()
-            ids = self.parts[text] = self.encoded(text)
+            spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[text] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
