@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing
+from . import media, minhash, packing
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -21,8 +21,16 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns, op8_substring_dedup, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
