@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing
+from . import lm, media, minhash, packing
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +26,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns, op8_substring_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
