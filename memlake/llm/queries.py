@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, media, minhash, packing
+from . import lm, media, minhash, packing, quality
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_media_columns, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
