@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, media, minhash, packing, quality, secrets
+from . import lm, media, minhash, packing, pii, quality, secrets
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scans, op4_best_fit_packing, op5_media_columns, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
