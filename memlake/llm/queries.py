@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, media, minhash, packing, pii, quality, secrets
+from . import decontaminate, lm, media, minhash, packing, pii, quality, secrets
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.secrets_digest(docs, secrets.markov_ratios(secrets.labelled_samples(spark, docs)))
@@ -48,8 +52,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE}
