@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, media, minhash, packing, pii, quality, secrets
+from . import decontaminate, linededup, lm, media, minhash, packing, pii, quality, secrets
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,9 +55,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op2_benchmark_decontamination": decontaminate.ORACLE}
