@@ -72,9 +72,19 @@ def rarity(docs: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
 
 
-def ordered_keys(line: Column, ranks: Column) -> Column:
-    """The words of a line as sorted longs: rarity rank in the top 7 bits, a 56-bit hash below."""
-    return F.array_sort(F.transform(F.transform(words_of(line), lambda w: F.xxhash64(w)), lambda h: F.shiftleft(F.element_at(ranks, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+def word_hashes(line: Column) -> Column:
+    return F.transform(words_of(line), lambda w: F.xxhash64(w))
+
+
+def ordered_keys(hashes: Column, ranks: Column) -> Column:
+    """Word hashes as sorted longs: rarity rank in the top 7 bits, 56 bits of the hash below."""
+    key = lambda h: F.shiftleft(F.element_at(ranks, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, key))
+
+
+def bitmap(hashes: Column) -> Column:
+    """A bit of 64 for each word: two sets differ in as many words as their bitmaps in bits, or more."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
 
 
 def least_overlap(n: Column) -> Column:
@@ -82,28 +92,37 @@ def least_overlap(n: Column) -> Column:
     return F.ceil(n * NUMERATOR / DENOMINATOR - 1e-9).cast("int")
 
 
+#: The places of the pairs of prefix words of a short line, by the later one.
+PAIRS = ((0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3))
+
+
 def postings(firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(t, id, n, rest, got): prefix entries t of each line, with its words, the words after the entry and the words in the entry."""
-    sized = firsts.select("id", ordered_keys(F.col("line"), ranks).alias("k")).select("id", "k", F.size("k").alias("n")).where(F.col("n") >= LEAST_WORDS)
+    """(t, id, n, rest, got, bits): prefix entries t of each line, with its words, the words after the entry, the words in the entry and
+    the line's bitmap. The entries are plain longs, told apart by their places, so that all of it stays in generated code."""
+    hashed = firsts.select("id", word_hashes(F.col("line")).alias("h"))
+    sized = hashed.select("id", F.size("h").alias("n"), bitmap(F.col("h")).alias("bits"), ordered_keys(F.col("h"), ranks).alias("k"))
     prefix = F.col("n") - least_overlap(F.col("n")) + 1
-    one = lambda i: F.struct(F.get("k", i).alias("t"), (F.col("n") - i - 1).alias("rest"), F.lit(1).alias("got"))
-    two = lambda i, j: F.struct(F.xxhash64(F.get("k", i), F.get("k", j)).alias("t"), (F.col("n") - j - 1).alias("rest"), F.lit(2).alias("got"))
-    empty = F.array().cast("array<struct<t:bigint,rest:int,got:int>>")
-    singles = F.when(F.col("n") >= SINGLE, F.transform(F.sequence(F.lit(0), prefix - 1), one)).otherwise(empty)
-    pairs = F.when(F.col("n") <= PAIRED, F.flatten(F.transform(F.sequence(F.lit(1), prefix), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: two(i, j))))).otherwise(empty)
-    return sized.select("id", "n", F.explode(F.concat(singles, pairs)).alias("e")).select("e.t", "id", "n", "e.rest", "e.got")
+    none = F.array().cast("array<bigint>")
+    pairs = F.array(*[F.when(prefix >= j, F.xxhash64(F.get("k", F.lit(i)), F.get("k", F.lit(j)))) for i, j in PAIRS])
+    short = F.col("n").between(LEAST_WORDS, PAIRED)
+    entries = F.concat(F.when(short, pairs).otherwise(none), F.when(F.col("n") >= SINGLE, F.slice("k", F.lit(1), prefix)).otherwise(none))
+    each = sized.select("id", "n", "bits", entries.alias("e")).select("id", "n", "bits", F.posexplode("e").alias("pos", "t")).where("t is not null")
+    paired = short & (F.col("pos") < len(PAIRS))
+    last = F.when(paired, F.element_at(F.array(*[F.lit(j) for _, j in PAIRS]), F.col("pos") + 1)).when(short, F.col("pos") - len(PAIRS)).otherwise(F.col("pos"))
+    return each.select("t", "id", F.col("n").cast("int").alias("n"), (F.col("n") - last - 1).cast("int").alias("rest"), F.when(paired, 2).otherwise(1).alias("got"), "bits")
 
 
 def may_reach(a: str, b: str) -> Column:
-    """Length and positional filters for two prefix entries, as columns a_n, a_rest, ..."""
+    """Length, positional and bitmap filters for two prefix entries, as columns a_n, a_rest, ..."""
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     lengths = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
     need = F.ceil((n + m) * (NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9)
-    return lengths & (F.col(f"{a}_got") + F.least(F.col(f"{a}_rest"), F.col(f"{b}_rest")) >= need)
+    differ = F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits")))
+    return lengths & (F.col(f"{a}_got") + F.least(F.col(f"{a}_rest"), F.col(f"{b}_rest")) >= need) & (differ <= n + m - 2 * need)
 
 
 def named(df: DataFrame, side: str) -> DataFrame:
-    return df.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "rest", "got")])
+    return df.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "rest", "got", "bits")])
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
