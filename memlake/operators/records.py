@@ -31,19 +31,16 @@ def dedupe_plan(records: DataFrame) -> DataFrame:
     return live.join(first, "fingerprint").where("memory_id != survivor").select("memory_id", "survivor")
 
 
-def supersession_chains(records: DataFrame, depth: int = 8) -> DataFrame:
-    """(memory_id, hops, last, cycle): where the chain of superseded_by leads. Each step is an equi-join on ids; a record met again ends it."""
+def supersession_chains(records: DataFrame, depth: int = 4) -> DataFrame:
+    """(memory_id, hops, last, unfinished): where superseded_by leads from each record that has one, over `depth` steps at most; a chain
+    that is longer, or a cycle, is unfinished. Each step is one equi-join on ids."""
     to = records.select(F.col("memory_id").alias("id"), F.col("superseded_by").alias("next"))
-    now = records.where("superseded_by != ''").select("memory_id", F.array("memory_id").alias("path"), F.col("superseded_by").alias("ahead"))
-    done = None
+    now = records.where("superseded_by != ''").select("memory_id", F.lit(0).alias("hops"), F.col("memory_id").alias("last"), F.col("superseded_by").alias("ahead"))
     for _ in range(depth):
         met = now.join(to, F.col("ahead") == F.col("id"), "left")
-        step = met.select("memory_id", F.when(F.col("id").isNull(), F.col("path")).otherwise(F.concat("path", F.array("ahead"))).alias("path"), F.col("id").isNotNull().alias("there"), F.coalesce("next", F.lit("")).alias("ahead"))
-        ended = step.where(~F.col("there") | (F.col("ahead") == "") | F.array_contains("path", F.col("ahead")))
-        out = ended.select("memory_id", (F.size("path") - 1).alias("hops"), F.element_at("path", -1).alias("last"), (F.col("there") & (F.col("ahead") != "")).alias("cycle"))
-        done = out if done is None else done.union(out)
-        now = step.where(F.col("there") & (F.col("ahead") != "") & ~F.array_contains("path", F.col("ahead"))).select("memory_id", "path", "ahead")
-    return done
+        found = F.col("id").isNotNull()
+        now = met.select("memory_id", (F.col("hops") + F.when(found, 1).otherwise(0)).alias("hops"), F.coalesce("id", "last").alias("last"), F.when(found, F.nullif(F.col("next"), F.lit(""))).alias("ahead"))
+    return now.select("memory_id", "hops", "last", F.col("ahead").isNotNull().alias("unfinished"))
 
 
 def duplicate_content(records: DataFrame, least: float = DUPLICATE_FROM) -> DataFrame:
