@@ -36,7 +36,7 @@ def unanswered(turns: DataFrame) -> DataFrame:
 
 def latest_status(ledger: DataFrame) -> DataFrame:
     """Per job: the last action in ledger order, its attempt and time."""
-    return ledger.groupBy("job").agg(F.max(F.struct("ordinal", "action", "attempt", "at")).alias("x")).select("job", "x.action", "x.attempt", "x.at")
+    return ledger.groupBy("job").agg(F.max(F.struct("ordinal", "action", "attempt", "at_s")).alias("x")).select("job", "x.action", "x.attempt", "x.at_s")
 
 
 def first_events(ledger: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def first_events(ledger: DataFrame) -> DataFrame:
 
 def expired_leases(ledger: DataFrame, as_of: int) -> DataFrame:
     """Jobs whose last event is a claim older than the lease: REQUEUE, or DEAD_LETTER after the last attempt."""
-    held = latest_status(ledger).where(F.col("action").isin("CLAIMED", "PROCESSING") & (F.lit(as_of) - F.col("at") >= LEASE_S))
+    held = latest_status(ledger).where(F.col("action").isin("CLAIMED", "PROCESSING") & (F.lit(as_of) - F.col("at_s") >= LEASE_S))
     return held.select("job", "attempt", F.when(F.col("attempt") >= ATTEMPTS, "DEAD_LETTER").otherwise("REQUEUE").alias("verdict"))
 
 
@@ -73,7 +73,7 @@ def gap_verdict(outcomes: DataFrame, least_sessions: int = 10) -> DataFrame:
 
 def usage(deliveries: DataFrame) -> DataFrame:
     """Per memory: deliveries, those of kind click, sessions and the last time."""
-    return deliveries.groupBy("memory_id").agg(F.count("*").alias("delivered"), F.count_if(F.col("kind") == "click").alias("clicked"), F.count_distinct("session").alias("sessions"), F.max("at").alias("last_at"))
+    return deliveries.groupBy("memory_id").agg(F.count("*").alias("delivered"), F.count_if(F.col("kind") == "click").alias("clicked"), F.count_distinct("session").alias("sessions"), F.max("at_s").alias("last_at"))
 
 
 def sessions_by_gap(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -26,8 +26,8 @@ def dedupe_plan(records: DataFrame) -> DataFrame:
 
     The survivor is aggregated before it meets the others, so a large group of copies is spread over tasks by the join.
     """
-    live = with_fingerprint(records).where(F.col("status") != "superseded").select("memory_id", "fingerprint", "at")
-    first = live.groupBy("fingerprint").agg(F.min(F.struct("at", "memory_id")).alias("x"), F.count("*").alias("n")).where("n > 1").select("fingerprint", F.col("x.memory_id").alias("survivor"))
+    live = with_fingerprint(records).where(F.col("status") != "superseded").select("memory_id", "fingerprint", "at_s")
+    first = live.groupBy("fingerprint").agg(F.min(F.struct("at_s", "memory_id")).alias("x"), F.count("*").alias("n")).where("n > 1").select("fingerprint", F.col("x.memory_id").alias("survivor"))
     return live.join(first, "fingerprint").where("memory_id != survivor").select("memory_id", "survivor")
 
 
@@ -53,7 +53,7 @@ def duplicate_content(records: DataFrame, least: float = DUPLICATE_FROM) -> Data
 def anomalies(records: DataFrame, as_of: int, duplicates: bool = True) -> DataFrame:
     """(detector, severity, memory_id, figure) of the seven detectors."""
     row = lambda detector, severity, df, figure: df.select(F.lit(detector).alias("detector"), F.lit(severity).alias("severity"), "memory_id", figure.cast("double").alias("figure"))
-    age = (F.lit(as_of) - F.col("at")) / 86400
+    age = (F.lit(as_of) - F.col("at_s")) / 86400
     gap = F.abs(F.col("quality_score") - F.col("confidence"))
     found = [
         row("stale_open_loop", "warning", records.where((F.col("type") == "open_loop") & (F.col("status") == "active") & (age >= 3)), age),
@@ -74,7 +74,7 @@ def anomalies(records: DataFrame, as_of: int, duplicates: bool = True) -> DataFr
 
 def bursts(records: DataFrame, least: int = 15) -> DataFrame:
     """(at, n, first_id): moments at which `least` records or more were made."""
-    return records.where("at is not null").groupBy("at").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id")).where(F.col("n") >= least)
+    return records.where("at_s is not null").groupBy("at_s").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id")).where(F.col("n") >= least)
 
 
 def broken_supersession(records: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def validated(records: DataFrame, as_of: int) -> DataFrame:
     warned = contradictions(decisions, decisions, IN_BATCH).select(F.col("id").alias("warned"))
     seen = records.join(warned, F.col("store_ordinal") == F.col("warned"), "left")
     errors = F.when(capture_reason(F.col("content")) != "", 1).otherwise(0)
-    score = scoring.validated_quality(F.col("confidence"), F.col("novelty"), F.col("type"), F.col("at"), as_of, errors, F.when(F.col("warned").isNotNull(), 1).otherwise(0))
+    score = scoring.validated_quality(F.col("confidence"), F.col("novelty"), F.col("type"), F.col("at_s"), as_of, errors, F.when(F.col("warned").isNotNull(), 1).otherwise(0))
     return seen.select("memory_id", F.round(score, 6).alias("quality"), (F.round(score, 9) > 0.55).alias("approved"))
 
 

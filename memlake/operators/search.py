@@ -32,13 +32,13 @@ def lexical_search(records: DataFrame, query: str, as_of: int, k: int = 5, proje
     """memory_id, store_ordinal, type, content (100 characters), similarity, score: active records in scope that share words with `query`."""
     asked = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())])
     seen = records.where(in_scope(project_id, scope) & active()).withColumn("similarity", jaccard(asked, words(F.col("content")))).where(F.col("similarity") >= GATE)
-    score = scoring.lexical(F.col("similarity"), F.col("quality_score"), F.col("type"), F.col("at"), as_of)
+    score = scoring.lexical(F.col("similarity"), F.col("quality_score"), F.col("type"), F.col("at_s"), as_of)
     return seen.select("memory_id", "store_ordinal", "type", F.substring("content", 1, 100).alias("content"), "similarity", score.alias("score")).orderBy(F.desc("score"), "store_ordinal").limit(k)
 
 
 def by_type(records: DataFrame, kind: str, as_of: int, k: int = 10) -> DataFrame:
     """The best records of a type by quality and freshness, whatever their status."""
-    score = F.col("quality_score") * 0.6 + scoring.freshness(F.col("at"), as_of) * 0.4
+    score = F.col("quality_score") * 0.6 + scoring.freshness(F.col("at_s"), as_of) * 0.4
     return records.where(F.col("type") == kind).select("memory_id", "store_ordinal", score.alias("score")).orderBy(F.desc("score"), "store_ordinal").limit(k)
 
 
@@ -98,14 +98,14 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, records: DataFrame, k: int =
     base = weighted.select("memory_id", kind.alias("search_type"), lexical_score.alias("lexical_score"), semantic_score.alias("semantic_score"), F.when(F.col("any_semantic"), lexical_score * 0.4 + semantic_score * 0.6).otherwise(lexical_score).alias("base"), F.coalesce(F.col("l"), F.lit(0)).alias("lexical_first"))
     known = records.join(F.broadcast(base), "memory_id", "right")
     combined = F.col("base") * F.when(F.col("store_ordinal").isNull(), 1.0).otherwise(1.0 + F.col("novelty") * 0.1)
-    columns = ["memory_id", "store_ordinal", "content", "quality_score", "novelty", "at", "search_type", "lexical_score", "semantic_score", "lexical_first"]
+    columns = ["memory_id", "store_ordinal", "content", "quality_score", "novelty", "at_s", "search_type", "lexical_score", "semantic_score", "lexical_first"]
     return known.select(*columns, combined.alias("combined_score")).orderBy(F.desc("combined_score"), F.desc("lexical_first"), "store_ordinal").limit(k)
 
 
 def heuristic_rank(found: DataFrame, query: str, as_of: int, weights: dict[str, float] | None = None) -> DataFrame:
     """`found` (`hybrid`) with five features and their weighted sum ml_score, best first."""
     features = {
-        "search_relevance": F.col("combined_score"), "memory_quality": F.coalesce("quality_score", F.lit(0.5)), "recency": scoring.recency(F.col("at"), as_of),
+        "search_relevance": F.col("combined_score"), "memory_quality": F.coalesce("quality_score", F.lit(0.5)), "recency": scoring.recency(F.col("at_s"), as_of),
         "novelty": F.coalesce("novelty", F.lit(0.5)), "match_type": scoring.match_type(query, F.col("content")),
     }
     return found.select("memory_id", "store_ordinal", *[v.alias(f"f_{k}") for k, v in features.items()], scoring.weighted(features, weights).alias("ml_score")).orderBy(F.desc("ml_score"), "store_ordinal")

@@ -15,7 +15,7 @@ from .search import active, in_scope
 def bootstrap_rank(records: DataFrame, query: tuple[str, ...], project_id: str, as_of: int, k: int = 15) -> DataFrame:
     """The best active records in scope: the project's own first, then by type, quality, freshness and the share of `query` tokens they hold."""
     asked = F.array(*map(F.lit, query)) if query else F.array().cast("array<string>")
-    priority, fresh = scoring.looked_up(F.col("type"), scoring.PRIORITY, 0.5), scoring.bootstrap_freshness(F.col("at"), as_of)
+    priority, fresh = scoring.looked_up(F.col("type"), scoring.PRIORITY, 0.5), scoring.bootstrap_freshness(F.col("at_s"), as_of)
     quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("quality_score", "confidence", F.lit(0.5))))
     held = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) > 1))
     score = priority * 0.30 + quality * 0.30 + fresh * 0.15 + F.size(F.array_intersect(asked, held)) / len(query) * 0.25 if query else priority * 0.4 + quality * 0.4 + fresh * 0.2

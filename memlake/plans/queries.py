@@ -49,7 +49,7 @@ WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(%s), '\s+'), lam
 TOKENS = r"list_sort(list_distinct(list_filter(regexp_extract_all(lower(%s), '[a-z0-9'']+'), lambda w: len(w) > 1 AND NOT list_contains(" + views._sql_list(text.STOPWORDS) + ", w))))"
 NORMAL = r"trim(regexp_replace(lower(%s), '\s+', ' ', 'g'))"
 FINGERPRINT = f"substr(sha256(scope || ':' || project_id || chr(10) || type || chr(10) || {NORMAL % 'content'}), 1, 16)"
-DAYS = f"(({AS_OF} - at) // 86400)"
+DAYS = f"(({AS_OF} - at_s) // 86400)"
 FRESH = f"(CASE WHEN {DAYS} = 0 THEN 1e0 WHEN {DAYS} = 1 THEN 9e-1 WHEN {DAYS} <= 7 THEN greatest(5e-1, 1e0 - {DAYS} * 7e-2) ELSE 3e-1 END)"
 PRIORITY = "(CASE type WHEN 'decision' THEN 1e0 WHEN 'lesson' THEN 8e-1 WHEN 'open_loop' THEN 9e-1 WHEN 'observation' THEN 6e-1 ELSE 5e-1 END)"
 ACTIVE, SCOPED = "coalesce(status, 'active') = 'active'", f"(scope = 'global' OR (scope = 'project' AND project_id = '{PROJECT}'))"
@@ -96,7 +96,7 @@ _LEX = f"""lex AS (SELECT memory_id, store_ordinal, type, substr(content, 1, 100
 _SEM = """sem AS (SELECT memory_id, store_ordinal, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) AS similarity
  FROM statements JOIN embeddings ON store_ordinal = vec_id ORDER BY similarity DESC, store_ordinal LIMIT 10)"""
 _HYB = """hyb AS (SELECT *, (CASE WHEN (SELECT count(*) FROM sem) > 0 THEN lexical_score * 4e-1 + semantic_score * 6e-1 ELSE lexical_score END) * (1e0 + novelty * 1e-1) AS combined_score FROM (
- SELECT memory_id, s.store_ordinal, s.content, s.quality_score, s.novelty, s.at, CASE WHEN l.memory_id IS NULL THEN 'semantic' WHEN m.memory_id IS NULL THEN 'lexical' ELSE 'both' END AS search_type,
+ SELECT memory_id, s.store_ordinal, s.content, s.quality_score, s.novelty, s.at_s, CASE WHEN l.memory_id IS NULL THEN 'semantic' WHEN m.memory_id IS NULL THEN 'lexical' ELSE 'both' END AS search_type,
   coalesce(l.score, 0e0) AS lexical_score, coalesce(m.similarity, 0e0) AS semantic_score FROM lex l FULL JOIN sem m USING (memory_id) JOIN statements s USING (memory_id))
  ORDER BY combined_score DESC, (CASE WHEN search_type = 'semantic' THEN 1 ELSE 0 END), store_ordinal LIMIT 10)"""
 
@@ -172,7 +172,7 @@ def fingerprint(spark, sf_dir):
     return records.with_fingerprint(views.memories(spark, sf_dir)).select("memory_id", "fingerprint")
 
 
-@query(f"{M} SELECT memory_id, survivor FROM (SELECT memory_id, first_value(memory_id) OVER (PARTITION BY {FINGERPRINT} ORDER BY at, memory_id) AS survivor FROM memories WHERE status <> 'superseded') WHERE memory_id <> survivor")
+@query(f"{M} SELECT memory_id, survivor FROM (SELECT memory_id, first_value(memory_id) OVER (PARTITION BY {FINGERPRINT} ORDER BY at_s, memory_id) AS survivor FROM memories WHERE status <> 'superseded') WHERE memory_id <> survivor")
 def dedupe_plan(spark, sf_dir):
     return records.dedupe_plan(views.memories(spark, sf_dir))
 
@@ -199,10 +199,10 @@ _PAIRS = f"""sets AS (SELECT type, t, min(store_ordinal) AS id FROM (SELECT type
  pairs AS (SELECT x.id AS a, y.id AS b, {jaccard('x.t', 'y.t')} AS similarity FROM sets x JOIN sets y ON x.type = y.type AND x.id < y.id WHERE least(len(x.t), len(y.t)) >= greatest(len(x.t), len(y.t)) * 6e-1 - 1e-9 AND {jaccard('x.t', 'y.t')} >= 6e-1
  UNION ALL SELECT s.id, m.store_ordinal, 1e0 FROM (SELECT type, store_ordinal, {TOKENS % 'content'} AS t FROM memories WHERE status = 'active') m JOIN sets s ON s.type = m.type AND s.t = m.t WHERE s.id <> m.store_ordinal)"""
 _DETECTED = f"""found AS (
- SELECT 'stale_open_loop' AS detector, 'warning' AS severity, memory_id, CAST({AS_OF} - at AS DOUBLE) / 86400 AS figure FROM memories WHERE type = 'open_loop' AND status = 'active' AND {AS_OF} - at >= 259200
+ SELECT 'stale_open_loop' AS detector, 'warning' AS severity, memory_id, CAST({AS_OF} - at_s AS DOUBLE) / 86400 AS figure FROM memories WHERE type = 'open_loop' AND status = 'active' AND {AS_OF} - at_s >= 259200
  UNION ALL SELECT 'low_confidence_outlier', 'info', memory_id, confidence FROM memories WHERE is_approved AND coalesce(confidence, 1) < 3e-1
  UNION ALL SELECT 'quality_confidence_gap', 'info', memory_id, {_GAP} FROM memories WHERE round({_GAP}, 9) >= 0.5
- UNION ALL SELECT 'burst_ingestion', 'warning', min(memory_id), count(*) FROM memories GROUP BY at HAVING count(*) >= 15
+ UNION ALL SELECT 'burst_ingestion', 'warning', min(memory_id), count(*) FROM memories GROUP BY at_s HAVING count(*) >= 15
  UNION ALL SELECT 'broken_supersession', 'critical', memory_id, 1 FROM memories WHERE superseded_by <> '' AND superseded_by NOT IN (SELECT memory_id FROM memories)
  UNION ALL SELECT 'trivial_content', 'info', memory_id, length(trim(content)) FROM memories WHERE length(trim(content)) < 10)"""
 
@@ -365,7 +365,7 @@ def projection_check(spark, sf_dir):
 
 
 # --- Ledger, sessions, usage --------------------------------------------------------------------------------------------------------
-@query(f"{L} SELECT job, action, attempt, at FROM ledger QUALIFY row_number() OVER (PARTITION BY job ORDER BY ordinal DESC) = 1")
+@query(f"{L} SELECT job, action, attempt, at_s FROM ledger QUALIFY row_number() OVER (PARTITION BY job ORDER BY ordinal DESC) = 1")
 def ledger_latest(spark, sf_dir):
     return capture.latest_status(views.ledger(spark, sf_dir))
 
@@ -375,7 +375,7 @@ def ledger_dedup(spark, sf_dir):
     return capture.first_events(views.ledger(spark, sf_dir))
 
 
-@query(f"{L} SELECT job, attempt, CASE WHEN attempt >= 3 THEN 'DEAD_LETTER' ELSE 'REQUEUE' END AS verdict FROM (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY job ORDER BY ordinal DESC) = 1) WHERE action IN ('CLAIMED', 'PROCESSING') AND {AS_OF} - at >= 300")
+@query(f"{L} SELECT job, attempt, CASE WHEN attempt >= 3 THEN 'DEAD_LETTER' ELSE 'REQUEUE' END AS verdict FROM (SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY job ORDER BY ordinal DESC) = 1) WHERE action IN ('CLAIMED', 'PROCESSING') AND {AS_OF} - at_s >= 300")
 def lease_expired(spark, sf_dir):
     return capture.expired_leases(views.ledger(spark, sf_dir), AS_OF)
 
@@ -393,7 +393,7 @@ def gap_verdict(spark, sf_dir):
     return capture.gap_verdict(capture.session_outcomes(views.ledger(spark, sf_dir)))
 
 
-@query(f"{D} SELECT memory_id, count(*) AS delivered, count(*) FILTER (kind = 'click') AS clicked, count(DISTINCT session) AS sessions, max(at) AS last_at FROM deliveries GROUP BY memory_id")
+@query(f"{D} SELECT memory_id, count(*) AS delivered, count(*) FILTER (kind = 'click') AS clicked, count(DISTINCT session) AS sessions, max(at_s) AS last_at FROM deliveries GROUP BY memory_id")
 def usage_counters(spark, sf_dir):
     return capture.usage(views.deliveries(spark, sf_dir))
 

@@ -54,7 +54,7 @@ def _records(docs: DataFrame, labels: DataFrame, content: Column) -> DataFrame:
         F.when(chars % 4 == 0, "decision").when(chars % 4 == 1, "lesson").when(chars % 4 == 2, "open_loop").otherwise("observation").alias("type"),
         content.alias("content"), ((n * 37 % 100) / 100).alias("confidence"),
         F.when(F.col("quality").isNotNull(), F.col("quality") * F.lit(0.5) + F.lit(0.4)).otherwise((n * 53 % 100) / 100).alias("quality_score"),
-        novelty(content).alias("novelty"), at.alias("at"),
+        novelty(content).alias("novelty"), at.alias("at_s"),
         F.when(n % 10 == 8, "resolved").when(n % 10 == 9, "superseded").otherwise("active").alias("status"),
         F.when(n % 50 == 49, "mem_99999999").when(n % 10 == 9, memory_id(n - 1)).otherwise("").alias("superseded_by"),
         scope.alias("scope"), F.when(chars % 3 == 0, "").otherwise(F.concat(F.lit("p_"), F.col("lang"))).alias("project_id"),
@@ -86,13 +86,13 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture events: ordinal, session, job, action, attempt, at."""
     e = table(spark, sf_dir, "events")
     kinds = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    return e.select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("session"), (F.col("event_id") % 997).alias("job"), F.element_at(kinds, F.col("event_type")).alias("action"), (F.get_json_object("props", "$.k").cast("long") % 3 + 1).alias("attempt"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return e.select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("session"), (F.col("event_id") % 997).alias("job"), F.element_at(kinds, F.col("event_type")).alias("action"), (F.get_json_object("props", "$.k").cast("long") % 3 + 1).alias("attempt"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"))
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which memory was delivered to which session, and when."""
     e = table(spark, sf_dir, "events")
-    return e.select(memory_id(F.col("event_id") % 199).alias("memory_id"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return e.select(memory_id(F.col("event_id") % 199).alias("memory_id"), F.col("user_id").alias("session"), F.col("event_type").alias("kind"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"))
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals: benchmark passages and one statement in seven, which collide with memories on purpose."""
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("candidate_id"), F.lit("lesson").alias("type"), F.col("text").alias("content"), F.lit("global").alias("scope"), F.lit("").alias("project_id"), F.lit("COMMITTED").alias("commitment"), (F.col("item_id") % 5 != 0).alias("approved"), F.lit(0.8).alias("confidence"), F.lit(AS_OF).cast("long").alias("created"))
     s = statements(spark, sf_dir).where(F.col("store_ordinal") % 7 == 0)
-    own = s.select(F.concat(F.lit("cand_"), F.col("store_ordinal").cast("string")).alias("candidate_id"), "type", "content", "scope", "project_id", F.when(F.col("store_ordinal") % 3 == 0, "OBSERVED").otherwise("COMMITTED").alias("commitment"), F.col("is_approved").alias("approved"), "confidence", F.col("at").alias("created"))
+    own = s.select(F.concat(F.lit("cand_"), F.col("store_ordinal").cast("string")).alias("candidate_id"), "type", "content", "scope", "project_id", F.when(F.col("store_ordinal") % 3 == 0, "OBSERVED").otherwise("COMMITTED").alias("commitment"), F.col("is_approved").alias("approved"), "confidence", F.col("at_s").alias("created"))
     return b.unionByName(own)
 
 
@@ -120,7 +120,7 @@ def _sql_records(content: str) -> str:
   {content} AS content, CAST(d.doc_id * 37 % 100 AS DOUBLE) / 100 AS confidence,
   CASE WHEN l.quality IS NOT NULL THEN l.quality * CAST(0.5 AS DOUBLE) + CAST(0.4 AS DOUBLE) ELSE CAST(d.doc_id * 53 % 100 AS DOUBLE) / 100 END AS quality_score,
   CASE WHEN {novel} THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS novelty,
-  CASE WHEN d.doc_id % 25 = 0 THEN {BURST_AT} ELSE {AS_OF} - (d.doc_id % 45) * 86400 - (d.doc_id % 1440) * 60 END AS at,
+  CASE WHEN d.doc_id % 25 = 0 THEN {BURST_AT} ELSE {AS_OF} - (d.doc_id % 45) * 86400 - (d.doc_id % 1440) * 60 END AS at_s,
   CASE d.doc_id % 10 WHEN 8 THEN 'resolved' WHEN 9 THEN 'superseded' ELSE 'active' END AS status,
   CASE WHEN d.doc_id % 50 = 49 THEN 'mem_99999999' WHEN d.doc_id % 10 = 9 THEN 'mem_' || lpad(CAST(d.doc_id - 1 AS VARCHAR), 8, '0') ELSE '' END AS superseded_by,
   CASE WHEN d.n_chars % 3 = 0 THEN 'global' ELSE 'project' END AS scope,
@@ -137,11 +137,11 @@ SQL = {
   CASE WHEN role = 'user' AND before = 'assistant' AND conv_id % 3 = 0 THEN {_sql_list(AFFIRMATIONS)}[CAST(conv_id % 4 AS INTEGER) + 1]
        WHEN role = 'assistant' THEN substr(text, 1, 80) || ' ' || {_PHRASE % '(conv_id + turn) % 16'} ELSE text END AS content
 FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""",
-    "ledger": "SELECT event_id AS ordinal, user_id AS session, event_id % 997 AS job, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1 AS attempt, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events",
-    "deliveries": "SELECT 'mem_' || lpad(CAST(event_id % 199 AS VARCHAR), 8, '0') AS memory_id, user_id AS session, event_type AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events",
+    "ledger": "SELECT event_id AS ordinal, user_id AS session, event_id % 997 AS job, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1 AS attempt, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events",
+    "deliveries": "SELECT 'mem_' || lpad(CAST(event_id % 199 AS VARCHAR), 8, '0') AS memory_id, user_id AS session, event_type AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events",
     "projects": "SELECT DISTINCT 'p_' || lang AS project_id, '/work/' || lang AS root, CASE WHEN lang = 'es' THEN 'archived' ELSE 'active' END AS status, lang <> 'fr' AS proactive_capture FROM documents WHERE lang IS NOT NULL",
     "candidates": f"""SELECT 'bench_' || CAST(item_id AS VARCHAR) AS candidate_id, 'lesson' AS type, text AS content, 'global' AS scope, '' AS project_id, 'COMMITTED' AS commitment, item_id % 5 <> 0 AS approved, CAST(0.8 AS DOUBLE) AS confidence, CAST({AS_OF} AS BIGINT) AS created FROM benchmark
-UNION ALL SELECT 'cand_' || CAST(store_ordinal AS VARCHAR), type, content, scope, project_id, CASE WHEN store_ordinal % 3 = 0 THEN 'OBSERVED' ELSE 'COMMITTED' END, is_approved, confidence, at FROM statements WHERE store_ordinal % 7 = 0""",
+UNION ALL SELECT 'cand_' || CAST(store_ordinal AS VARCHAR), type, content, scope, project_id, CASE WHEN store_ordinal % 3 = 0 THEN 'OBSERVED' ELSE 'COMMITTED' END, is_approved, confidence, at_s FROM statements WHERE store_ordinal % 7 = 0""",
 }
 _NEEDS = {"candidates": ("statements",)}
 
