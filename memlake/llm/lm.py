@@ -119,6 +119,19 @@ def trained_pieces(words: DataFrame, model_path: str) -> Pieces:
     return Pieces({sp.id_to_piece(i): math.log10(weight[i] / total) for i in range(n) if usable[i]}, math.log10(end / total))
 
 
+def frequent_from(words: DataFrame, most: int) -> int | None:
+    """The count from which words are frequent, so that `most` of them are at most; None if even the most frequent are too many. It is read
+    off the numbers of words per eighth of an octave of the count: a few hundred rows, whatever the corpus."""
+    sizes = words.groupBy(F.floor(F.log2(F.col("n_all").cast("double")) * 8).alias("step")).agg(F.count("*").alias("n"), F.min("n_all").alias("least"))
+    taken, least = 0, None
+    for r in sorted(sizes.collect(), key=lambda r: -r["step"]):
+        taken += r["n"]
+        if taken > most:
+            break
+        least = r["least"]
+    return least
+
+
 def key64(word: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(word), "little", signed=True)
 
@@ -149,7 +162,8 @@ def score_texts(docs: DataFrame, model_path: str, modulus: int, remainder: int,
             yield pd.DataFrame({"h": [key64(w) for w in x["word"]], "n": x["n"], "word_lattice": [lattice(w) for w in x["word"]]})
 
     lexicon = words.mapInPandas(figures, "h long, n long, word_lattice double")
-    top = words.orderBy(F.desc("n_all"), "word").limit(frequent_words).select("word", "n").toPandas()
+    least = frequent_from(words, frequent_words)
+    top = words.where(F.lit(least is not None) & (F.col("n_all") >= F.lit(least or 0))).select("word", "n").toPandas()  # frequent_words rows at most
     at = {bytes(w): k for k, w in enumerate(top["word"])}
     n = top["n"].to_numpy(np.int64)
     # The last row stands for the words that are not here.
