@@ -73,13 +73,12 @@ def disclosing_terms(docs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = seen.join(often, "entity").select("entity", "entity_lines", "context", F.explode("terms").alias("term"))
     once = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"), F.first("entity_lines").alias("entity_lines"))
     supported = cut(once.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"), F.first("entity_lines").alias("entity_lines")).where(F.col("contexts") >= SUPPORT))
-    # The corpus counts of the supported terms, over every line of every document.
-    wanted = small_broadcast(supported.select("term").distinct(), BROADCAST_ROWS)
+    # Every line's terms are counted before the supported ones meet their counts, so the join has a row per entity and term.
     corpus = intake(docs).select(F.explode(F.split("text", "\n")).alias("line"))
     total = corpus.agg(F.count("*").alias("all_lines"))
-    counts = corpus.select(F.explode(terms_of(F.col("line"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_lines"))
+    counts = corpus.select(F.explode(terms_of(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_lines"))
     share = F.col("together") / F.greatest("term_lines", "together")
-    rated = supported.join(counts, "term").withColumn("all_lines", F.lit(total.first()["all_lines"]))
+    rated = counts.join(small_broadcast(supported, BROADCAST_ROWS), "term").withColumn("all_lines", F.lit(total.first()["all_lines"]))
     rated = rated.select("entity", "term", share.alias("share"), F.log2(share * F.col("all_lines") / F.col("entity_lines")).alias("bits"))
     return rated.where((F.col("share") >= GENERALISE_FROM) & (F.col("bits") >= LEAST_BITS)).withColumn("kind", F.when(F.col("share") >= REMOVE_FROM, "remove").otherwise("generalise"))
 
