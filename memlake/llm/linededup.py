@@ -50,11 +50,6 @@ def numbered(docs: DataFrame) -> DataFrame:
     return marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("number", "doc_id", "text", *rest)
 
 
-def words_of(line: Column) -> Column:
-    """The different words of a line that is already lower case."""
-    return F.array_distinct(F.array_remove(F.split(line, F.lit(" ")), ""))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(id, line) of `numbered` documents: trimmed and in lower case, with as many spaces as `LEAST_WORDS` words need."""
     each = docs.select("number", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
@@ -73,7 +68,8 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def word_hashes(line: Column) -> Column:
-    return F.transform(words_of(line), lambda w: F.xxhash64(w))
+    """The different words of a line that is already lower case, as 64-bit hashes."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, F.lit(" ")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def ordered_keys(hashes: Column, ranks: Column) -> Column:
@@ -83,8 +79,8 @@ def ordered_keys(hashes: Column, ranks: Column) -> Column:
 
 
 def bitmap(hashes: Column) -> Column:
-    """A bit of 64 for each word: two sets differ in as many words as their bitmaps in bits, or more."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    """Each word flips one bit of 64: two sets differ in as many words as their bitmaps in bits, or more. Long lines do not fill it up."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
 
 
 def least_overlap(n: Column) -> Column:
@@ -97,19 +93,23 @@ PAIRS = ((0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3))
 
 
 def postings(firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(t, id, n, rest, got, bits): prefix entries t of each line, with its words, the words after the entry, the words in the entry and
-    the line's bitmap. The entries are plain longs, told apart by their places, so that all of it stays in generated code."""
+    """(t, id, n, rest, got, bits, more): prefix entries t of each line, with its words, the words after the entry, the words in the entry
+    and the bitmaps of the line's even and odd hashes. The entries are plain longs, told apart by their places, so that all of it stays in
+    generated code. A line of fewer than `LEAST_WORDS` words has one row, with t = null."""
     hashed = firsts.select("id", word_hashes(F.col("line")).alias("h"))
-    sized = hashed.select("id", F.size("h").alias("n"), bitmap(F.col("h")).alias("bits"), ordered_keys(F.col("h"), ranks).alias("k"))
+    half = lambda odd: bitmap(F.filter("h", lambda h: h.bitwiseAND(1) == odd))
+    sized = hashed.select("id", F.size("h").alias("n"), half(0).alias("bits"), half(1).alias("more"), ordered_keys(F.col("h"), ranks).alias("k"))
     prefix = F.col("n") - least_overlap(F.col("n")) + 1
     none = F.array().cast("array<bigint>")
     pairs = F.array(*[F.when(prefix >= j, F.xxhash64(F.get("k", F.lit(i)), F.get("k", F.lit(j)))) for i, j in PAIRS])
     short = F.col("n").between(LEAST_WORDS, PAIRED)
     entries = F.concat(F.when(short, pairs).otherwise(none), F.when(F.col("n") >= SINGLE, F.slice("k", F.lit(1), prefix)).otherwise(none))
-    each = sized.select("id", "n", "bits", entries.alias("e")).select("id", "n", "bits", F.posexplode("e").alias("pos", "t")).where("t is not null")
+    # Exploded as an expression, not as a column: Spark would filter on a column's size first, and compute all of the above again for that.
+    each = sized.select("id", "n", "bits", "more", F.posexplode(F.when(F.col("n") < LEAST_WORDS, F.array(F.lit(None).cast("long"))).otherwise(entries)).alias("pos", "t"))
+    each = each.where(F.col("t").isNotNull() | (F.col("n") < LEAST_WORDS))
     paired = short & (F.col("pos") < len(PAIRS))
     last = F.when(paired, F.element_at(F.array(*[F.lit(j) for _, j in PAIRS]), F.col("pos") + 1)).when(short, F.col("pos") - len(PAIRS)).otherwise(F.col("pos"))
-    return each.select("t", "id", F.col("n").cast("int").alias("n"), (F.col("n") - last - 1).cast("int").alias("rest"), F.when(paired, 2).otherwise(1).alias("got"), "bits")
+    return each.select("t", "id", F.col("n").cast("int").alias("n"), (F.col("n") - last - 1).cast("int").alias("rest"), F.when(paired, 2).otherwise(1).alias("got"), "bits", "more")
 
 
 def may_reach(a: str, b: str) -> Column:
@@ -117,42 +117,46 @@ def may_reach(a: str, b: str) -> Column:
     n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
     lengths = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
     need = F.ceil((n + m) * (NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9)
-    differ = F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits")))
+    differ = F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits"))) + F.bit_count(F.col(f"{a}_more").bitwiseXOR(F.col(f"{b}_more")))
     return lengths & (F.col(f"{a}_got") + F.least(F.col(f"{a}_rest"), F.col(f"{b}_rest")) >= need) & (differ <= n + m - 2 * need)
 
 
-def named(df: DataFrame, side: str) -> DataFrame:
-    return df.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "rest", "got", "bits")])
+CARRIED = ("id", "n", "rest", "got", "bits", "more")
 
 
-def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of `pairs` (late, early) whose lines reach the threshold, by the words themselves."""
-    ids = pairs.select(F.explode(F.array("late", "early")).alias("wanted")).distinct()
-    texts = lines.join(small_broadcast(ids, BROADCAST_ROWS), F.col("id") == F.col("wanted"), "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("late"), F.col("line").alias("late_line")), "late").join(texts.select(F.col("id").alias("early"), F.col("line").alias("early_line")), "early")
-    sized = both.select("late", "early", words_of(F.col("late_line")).alias("x"), words_of(F.col("early_line")).alias("y")).select("late", "early", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+def named(df: DataFrame, side: str) -> DataFrame:
+    return df.select("t", *[F.col(c).alias(f"{side}_{c}") for c in CARRIED])
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of `pairs` (late, early; cut) whose lines reach the threshold, by the hashes of all their words. Only the documents that hold these
+    lines are split again, and the lines are written once for both sides."""
+    ids = cut(pairs.select(F.explode(F.array("late", "early")).alias("wanted")).distinct())
+    holders = ids.select(F.shiftright("wanted", LINE_BITS).alias("holder")).distinct()
+    own = docs.join(small_broadcast(holders, BROADCAST_ROWS), F.col("number") == F.col("holder"), "left_semi")
+    texts = cut_table(lines_of(own).join(small_broadcast(ids, BROADCAST_ROWS), F.col("id") == F.col("wanted"), "left_semi").select("id", word_hashes(F.col("line")).alias("words")))
+    both = pairs.join(texts.select(F.col("id").alias("late"), F.col("words").alias("x")), "late").join(texts.select(F.col("id").alias("early"), F.col("words").alias("y")), "early")
+    sized = both.select("late", "early", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
     return sized.where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("n") - F.col("both"))).select("late", "early")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id): the lines of `numbered` documents that an earlier line matches, removed itself or not."""
-    lines = lines_of(docs)
-    hashed = lines.select("id", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    repeated = cut(hashed.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
+    hashed = lines_of(docs).select("id", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    marks = cut_table(hashed.select("id", "h", "g"))
+    repeated = cut(marks.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
     known = small_broadcast(repeated, BROADCAST_ROWS)
-    copies = hashed.join(known, ["h", "g"]).where("id != first").where(F.size(words_of(F.col("line"))) >= LEAST_WORDS).select("id")
-    firsts = hashed.join(known, ["h", "g"], "left").where("first is null or first = id").select("id", "line")
-    entries = postings(firsts, rarity(docs))
-    shared = entries.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("first")).where("lines > 1").select("t", "first")
-    met = cut_table(entries.join(shared, "t"))
-    heads = named(met.where("id = first").drop("first"), "b")
-    late = named(met.where("id != first").drop("first"), "a")
-    tried = cut(late.join(heads, "t").where(may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct())
-    by_first = cut(similar_pairs(tried, lines).select(F.col("late").alias("id")).distinct())
-    still = met.where("id != first").drop("first").join(small_broadcast(by_first, BROADCAST_ROWS), "id", "left_anti")
-    others = named(met.where("id != first").drop("first"), "b")
-    second = named(still, "a").join(others, "t").where((F.col("b_id") < F.col("a_id")) & may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct()
-    by_others = similar_pairs(cut(second), lines).select(F.col("late").alias("id")).distinct()
+    later = cut(marks.join(known, ["h", "g"]).where("id != first").select("id", "first"))
+    firsts = hashed.select("id", "line").join(small_broadcast(later.select(F.col("id").alias("later")), BROADCAST_ROWS), F.col("id") == F.col("later"), "left_anti")
+    posted = cut_table(postings(firsts, rarity(docs)))
+    copies = later.join(posted.where("t is null").select(F.col("id").alias("first")), "first", "left_anti").select("id")
+    entries = posted.where("t is not null")
+    heads = entries.groupBy("t").agg(F.min(F.struct(*CARRIED)).alias("b")).select("t", *[F.col("b")[c].alias(f"b_{c}") for c in CARRIED])
+    tried = cut(named(entries, "a").join(heads, "t").where((F.col("a_id") != F.col("b_id")) & may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct())
+    by_first = cut(similar_pairs(tried, docs).select(F.col("late").alias("id")).distinct())
+    still = entries.join(small_broadcast(by_first, BROADCAST_ROWS), "id", "left_anti")
+    second = named(still, "a").join(named(entries, "b"), "t").where((F.col("b_id") < F.col("a_id")) & may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct()
+    by_others = similar_pairs(cut(second), docs).select(F.col("late").alias("id")).distinct()
     return copies.union(by_first).union(by_others)
 
 
