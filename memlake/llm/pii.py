@@ -1,8 +1,9 @@
 """PII: fixed forms of personal data, and the words that give a person away.
 
-A term discloses an entity (an address, a number) when seeing the term makes the entity likely: the share of the lines with the term that
-also hold the entity, and its ratio to the entity's own share of lines (pointwise mutual information). Terms over the upper threshold are
-removed, those over the lower one generalised; both come out as spans of their own kinds, in the lines where the entity stands.
+A term discloses an entity (an address, a number) when seeing the term makes the entity likely: the share of the documents with the term
+that also hold the entity, and its ratio to the entity's own share of documents (pointwise mutual information). The share is smoothed
+towards the entity's own share, so few documents weigh less, but none are left out. Terms over the upper threshold are removed, those over
+the lower one generalised; both come out as spans of their own kinds, wherever the term stands in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, intake, small_broadcast
-from .spans import listed, replaced, running, spans_of
+from .spans import SPAN, listed, replaced, running, spans_of
 
 #: The forms, each written so that a search passes over a run of characters once (possessive, from the start of a run or
 #: from where the last match ended).
@@ -22,8 +23,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ANY = r"[@+]|[0-9]{2}|[0-9]\.[0-9]|[0-9][ -][0-9]"
 TERM = r"(?<!\p{L})\p{L}{3,}+"
 
-#: A term needs so many different lines with the entity; shares of its lines from which it is removed or generalised; least PMI in bits.
-SUPPORT, REMOVE_FROM, GENERALISE_FROM, LEAST_BITS = 5, 0.5, 0.25, 3.0
+#: Documents that a term's share is smoothed with; shares from which it is removed or generalised; least PMI in bits. A term that only
+#: one document has, with the entity, is generalised; one that two have, both with it, is removed.
+PRIOR, REMOVE_FROM, GENERALISE_FROM, LEAST_BITS = 2, 0.5, 0.25, 3.0
 #: Terms (or term and entity pairs) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -51,61 +53,66 @@ def personal(text: Column) -> Column:
     return F.array_sort(F.concat(spans_of(text, EMAIL, 0, "email"), F.filter(spans_of(text, IP, 1, "ip"), parts_fit), cards, phones))
 
 
-def entity_lines(found: DataFrame) -> DataFrame:
-    """The lines that hold personal data: doc_id, mark, at (code points before the line), line, base (spans within the line). No form
+def lines_of(held: DataFrame) -> DataFrame:
+    """The lines of the texts of `held`: doc_id, mark, at (code points before the line), line, base (spans within the line). No form
     crosses a line end, so a line's own spans are those of the text."""
-    lines = found.where(F.size("base") > 0).select("doc_id", "mark", F.split("text", "\n").alias("lines"))
+    lines = held.select("doc_id", "mark", F.split("text", "\n").alias("lines"))
     placed = lines.select("doc_id", "mark", F.explode(F.arrays_zip("lines", F.slice(running(F.transform("lines", lambda x: F.length(x) + 1)), 1, F.size("lines")).alias("at"))).alias("x"))
-    return placed.select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.lines").alias("line")).withColumn("base", personal(F.col("line"))).where(F.size("base") > 0)
-
-
-def terms_of(line: Column) -> Column:
-    """The distinct terms of a line, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
-
-
-def disclosing_terms(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(entity, term, kind, share, bits): the terms over a threshold, kind generalise or remove."""
-    without = replaced(F.col("line"), F.col("base"))
-    seen = lines.select(F.xxhash64("line").alias("context"), F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(" ", s["kind"], s["match"])))).alias("entity"), F.array_except(terms_of(without), F.array(*map(F.lit, ("email", "card", "phone")))).alias("terms"))
-    per_entity = seen.groupBy("entity").agg(F.count("*").alias("entity_lines"), F.approx_count_distinct("context").alias("contexts"))
-    often = per_entity.where(F.col("contexts") >= SUPPORT - 1).select("entity", "entity_lines")
-    pairs = seen.join(often, "entity").select("entity", "entity_lines", "context", F.explode("terms").alias("term"))
-    once = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"), F.first("entity_lines").alias("entity_lines"))
-    supported = cut(once.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"), F.first("entity_lines").alias("entity_lines")).where(F.col("contexts") >= SUPPORT))
-    # Every line's terms are counted before the supported ones meet their counts, so the join has a row per entity and term.
-    corpus = intake(docs).select(F.explode(F.split("text", "\n")).alias("line"))
-    total = corpus.agg(F.count("*").alias("all_lines"))
-    counts = corpus.select(F.explode(terms_of(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_lines"))
-    share = F.col("together") / F.greatest("term_lines", "together")
-    rated = counts.join(small_broadcast(supported, BROADCAST_ROWS), "term").withColumn("all_lines", F.lit(total.first()["all_lines"]))
-    rated = rated.select("entity", "term", share.alias("share"), F.log2(share * F.col("all_lines") / F.col("entity_lines")).alias("bits"))
-    return rated.where((F.col("share") >= GENERALISE_FROM) & (F.col("bits") >= LEAST_BITS)).withColumn("kind", F.when(F.col("share") >= REMOVE_FROM, "remove").otherwise("generalise"))
-
-
-def disclosure_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return placed.select("doc_id", "mark", F.col("x.at").alias("at"), F.col("x.lines").alias("line")).withColumn("base", own_spans(F.col("line")))
+
+
+def own_spans(text: Column) -> Column:
+    """`personal`, for the price of one search where nothing can match."""
+    return F.when(text.rlike(ANY), personal(text)).otherwise(F.array().cast(SPAN))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosing_terms(docs: DataFrame, pairs: DataFrame, entities: DataFrame, by_line: bool) -> DataFrame:
+    """(entity, term, ord): the terms over a threshold, of those in `pairs` (a row per context, entity and term). All counts are exact."""
+    per_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    together = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).join(per_entity, "entity"))
+    corpus = intake(docs).select(F.explode(F.split("text", "\n")).alias("text")) if by_line else intake(docs).select("text")
+    n = corpus.count()
+    # Every context's terms are counted before the pairs meet their counts, so the join has a row per entity and term.
+    counts = corpus.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    share = (F.col("together") + PRIOR * F.col("with_entity") / n) / (F.greatest("with_term", "together") + PRIOR)
+    rated = counts.join(small_broadcast(together, BROADCAST_ROWS), "term").select("entity", "term", share.alias("share"), F.log2(share * n / F.col("with_entity")).alias("bits"))
+    return rated.where((F.col("share") >= GENERALISE_FROM) & (F.col("bits") >= LEAST_BITS)).select("entity", "term", F.when(F.col("share") >= REMOVE_FROM, 5).otherwise(4).alias("ord"))
+
+
+def disclosure_spans(docs: DataFrame, found: DataFrame, by_line: bool) -> DataFrame:
     """(doc_id, mark, more): the spans of disclosing terms in each text that has any, outside its personal data."""
-    lines = cut(entity_lines(found).select("doc_id", "mark", "at", "line", "base"))
-    guilty = cut(disclosing_terms(docs, lines))
-    by_line = lines.select("doc_id", "mark", "at", "base", F.transform("base", lambda s: F.concat_ws(" ", s["kind"], s["match"])).alias("entities"), "line")
-    here = by_line.select("doc_id", "mark", "at", "base", "line", F.explode(F.array_distinct("entities")).alias("entity")).join(small_broadcast(guilty.groupBy("entity").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("kinds")), BROADCAST_ROWS), "entity")
+    held = cut(found.where(F.size("base") > 0).select("doc_id", "mark", "text", "base"))
+    lines = lines_of(held)
+    units = lines.where(F.size("base") > 0).select("doc_id", "mark", F.col("at").alias("unit"), F.col("line").alias("text"), "base") if by_line else held.withColumn("unit", F.lit(0))
+    nameless = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("kind")))
+    seen = units.withColumn("bare", nameless).select("doc_id", "mark", "unit", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(" ", s["kind"], s["match"])))).alias("entity"), replaced(F.col("text"), F.col("bare")).alias("others"))
+    pairs = seen.select("doc_id", "mark", "unit", "entity", F.explode(terms_of(F.col("others"))).alias("term"))
+    guilty = cut(disclosing_terms(docs, pairs, seen.select("entity"), by_line))
+    # A term that several entities of the unit give away is removed if one of them asks for it.
+    worst = pairs.join(small_broadcast(guilty, BROADCAST_ROWS), ["entity", "term"]).groupBy("doc_id", "mark", "unit", "term").agg(F.max("ord").alias("ord"))
     words = F.filter(spans_of(F.col("line"), TERM, 4, "term"), lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    each = here.select("doc_id", "mark", "at", "kinds", F.explode(words).alias("w")).withColumn("kind", F.element_at("kinds", F.lower("w.match"))).where("kind is not null")
-    span = F.struct((F.col("at") + F.col("w.start")).cast("int").alias("start"), F.when(F.col("kind") == "generalise", 4).otherwise(5).alias("ord"), (F.col("at") + F.col("w.end")).cast("int").alias("end"), "kind", F.col("w.match").alias("match"))
-    # A term that several entities of the line give away is removed if one of them asks for it.
-    worst = each.select("doc_id", "mark", span.alias("s")).groupBy("doc_id", "mark", F.col("s.start").alias("start")).agg(F.max_by("s", "s.ord").alias("s"))
-    return worst.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("s")).alias("more"))
+    each = lines.select("doc_id", "mark", (F.col("at") if by_line else F.lit(0)).alias("unit"), "at", F.explode(words).alias("w")).withColumn("term", F.lower("w.match"))
+    same = each.doc_id.eqNullSafe(worst.doc_id) & (each.mark == worst.mark) & (each.unit == worst.unit) & (each.term == worst.term)
+    kind = F.when(F.col("ord") == 5, "remove").otherwise("generalise")
+    span = F.struct((F.col("at") + F.col("w.start")).cast("int").alias("start"), F.col("ord"), (F.col("at") + F.col("w.end")).cast("int").alias("end"), kind.alias("kind"), F.col("w.match").alias("match"))
+    return each.join(worst, same).select(each.doc_id, each.mark, span.alias("s")).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("more"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, by_line: bool = True) -> DataFrame:
     """Per row of `docs`: doc_id, text, `base` (email, ip, card, phone) and `found` (base and the disclosing terms), both `SPAN`, sorted.
 
-    A null text is the empty text and has no spans; repeated rows give repeated results; no rows give no rows. Co-occurrence is counted
-    over all lines of all documents.
+    A null text is the empty text and has no spans; repeated rows give repeated results and count as documents; no rows give no rows.
+    Co-occurrence is counted over all documents, a term against every entity of its document; `by_line`: over all lines, and terms are
+    only marked in the lines where the entity stands.
     """
     text = F.col("text")
-    found = intake(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text", F.when(text.rlike(ANY), personal(text)).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,match:string>>")).alias("base"))
-    more = disclosure_spans(docs, found)
+    found = intake(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text", own_spans(text).alias("base"))
+    more = disclosure_spans(docs, found, by_line)
     same = (found.mark == more.mark) & found.doc_id.eqNullSafe(more.doc_id)
     both = found.join(small_broadcast(more, BROADCAST_ROWS), same, "left")
     return both.select(found.doc_id, "text", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("found"))
@@ -119,4 +126,4 @@ def sanitised(found: DataFrame) -> DataFrame:
 def personal_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find_personal_data(docs).select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), (F.size("found") - F.size("base")).cast("long").alias("n_terms"))
+    return find_personal_data(docs, by_line=False).select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), (F.size("found") - F.size("base")).cast("long").alias("n_terms"))

@@ -60,5 +60,33 @@ def test_disclosing_terms(spark):
     assert "q@mail.org" not in clean[0] and "[EMAIL]" in clean[0] and clean[0].count("Quibblethwaite") == 1
 
 
+def test_terms_of_rare_entities_anywhere_in_the_document(spark):
+    texts = [f"river stone bridge {'house' if i % 2 else 'water'} {'plain' if i % 3 else 'green'}" for i in range(120)]
+    texts[0] += "\nwrite to a@mail.org\nThe Zanzibari said, email me"  # one document: all its own terms are generalised
+    for k in (1, 2):
+        texts[k] += f"\nQuibble{'x' * k} river\n10.0.0.1 Thwaite"  # two documents share an address and a term
+    for k in range(3, 9):
+        texts[k] += "\nsame line +1 (555) 123-4567 here\nlegal"  # copies of one line
+    rows = [(i, t, 1, "b") for i, t in enumerate(texts)] + [(None, texts[1], 1, "b")]
+
+    held = [{*re.findall(r"[a-z@.]+@[a-z.]+|\d+(?:\.\d+){3}|\+1.*\d", r[1])} for r in rows]
+    terms = [{w.lower() for w in re.findall("[A-Za-z]{3,}", re.sub(r"\S+@\S+", "", r[1]))} for r in rows]
+    want = set()
+    for i, r in enumerate(rows):
+        for m in re.finditer("[A-Za-z]{3,}", r[1]):
+            w, best = m[0].lower(), 0
+            for e in held[i]:
+                n_e = sum(e in h for h in held)
+                both, n_t = sum(e in h and w in t for h, t in zip(held, terms, strict=True)), sum(w in t for t in terms)
+                share = (both + 2 * n_e / len(rows)) / (n_t + 2)
+                best = max(best, (share >= 0.25) + (share >= 0.5) if share * len(rows) / n_e >= 8 else 0)
+            if best and "@" not in r[1][m.start() - 2 : m.end() + 1] and r[1][m.start() - 1 : m.start()] != ".":
+                want.add((r[0], ("", "generalise", "remove")[best], m.start(), m.end()))
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_digest(spark.createDataFrame(rows, DOCS)).collect()}
+    spans = {(i, k, int(a), int(b)) for i, x in got.items() for k, a, b in (s.split(":") for s in x if s) if k in ("remove", "generalise")}
+    assert spans == want
+    assert {texts[1 if i is None else i][a:b] for i, _, a, b in spans} >= {"Zanzibari", "email", "Thwaite", "same", "legal"}
+
+
 def test_nothing(spark):
     assert pii.personal_digest(spark.createDataFrame([], DOCS)).count() == 0
