@@ -27,9 +27,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the least doc_id."""
-    others = minhash.jaccard_join(docs).where("doc_id != class_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.select(*COLUMNS).join(small_broadcast(others, BROADCAST_ROWS), F.col("doc_id") == F.col("other_id"), "left_anti")
+    """One document of each near-duplicate class, the one with the least doc_id; where none has any, one of its texts."""
+    others = minhash.later_copies(docs).select(F.col("doc_id").alias("other_id"), F.col("mark").alias("other_mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("other_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("other_mark"))
+    return docs.select(*COLUMNS).join(small_broadcast(others, BROADCAST_ROWS), same, "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

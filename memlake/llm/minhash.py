@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, intake, mixed, shingles, small_broadcast
@@ -61,25 +61,37 @@ def bands_for(target: float, similarity: float = THRESHOLD, rows: int = 5) -> in
     return int(np.ceil(np.log(1 - target) / np.log(1 - similarity**rows)))
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): texts with a hash, which tells rows without a doc_id apart."""
+    return intake(docs).withColumn("mark", F.xxhash64("text"))
+
+
+def place() -> Column:
+    """What units are ordered and told apart by: doc_id, then unit. Texts without a doc_id come last, by their marks."""
+    nameless = F.col("doc_id").isNull()
+    return F.struct(nameless.alias("nameless"), "doc_id", F.when(nameless, F.col("mark")).alias("own_mark"), "unit")
+
+
 def signatures(docs: DataFrame, units: Units, bands: int, rows: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, unit, words, key, bands) for each unit that `units` finds in a text; units without words have neither key nor bands."""
+    """(doc_id, mark, unit, words, key, bands) for each unit that `units` finds in a text, mark being the text's hash; units without words
+    have neither key nor bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for unit, words in units(text.as_py()):
                     s = shingles(words, hashes, width)
                     if len(s):
-                        out.append((doc_id, unit, len(words), xxhash.xxh3_128_digest(s.tobytes()), band_hashes(s, bands, rows).view(np.int64)))
+                        out.append((doc_id, mark, unit, len(words), xxhash.xxh3_128_digest(s.tobytes()), band_hashes(s, bands, rows).view(np.int64)))
                     else:
-                        out.append((doc_id, unit, 0, None, None))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "unit", "words", "key", "bands"])
+                        out.append((doc_id, mark, unit, 0, None, None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "mark", "unit", "words", "key", "bands"])
 
-    return intake(docs).mapInArrow(sign, "doc_id long, unit int, words long, key binary, bands array<long>")
+    return marked(docs).mapInArrow(sign, "doc_id long, mark long, unit int, words long, key binary, bands array<long>")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -160,9 +172,10 @@ def verify_blocks(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, units: Units, width: int = WIDTH) -> DataFrame:
-    """`wanted` (node, component, blk, blocks, copies, key and the doc_id and unit that carry it) with the full shingle sets."""
-    carriers = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "key", "node", "component", "blk", "blocks", "copies")).alias("own"))
-    joined = intake(docs).join(small_broadcast(carriers, BROADCAST_ROWS), "doc_id").select("own", "text")
+    """`wanted` (node, component, blk, blocks, copies, key and the doc_id, mark and unit that carry it) with the full shingle sets."""
+    carriers = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("unit", "key", "node", "component", "blk", "blocks", "copies")).alias("own"))
+    texts, carriers = marked(docs), small_broadcast(carriers, BROADCAST_ROWS)
+    joined = texts.join(carriers, texts.doc_id.eqNullSafe(carriers.doc_id) & (texts.mark == carriers.mark)).select("own", "text")
     own = pa.schema([(x, pa.int64()) for x in ("node", "component", "blk", "blocks", "copies")] + [("shingles", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +196,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, units: Units, width: int =
 
 
 def near_classes(docs: DataFrame, signed: DataFrame, units: Units, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """A row per distinct shingle set of `signed` (`signatures`, cut): key, first (doc_id, unit), copies, class_first (the first of the
+    """A row per distinct shingle set of `signed` (`signatures`, cut): key, first (its `place`), copies, class_first (the first of the
     near-duplicate class) and links (documents or units in other sets that reach the threshold)."""
-    sets = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "unit", "bands")).alias("x"))
-    sets = cut(sets.select("key", "copies", F.struct("x.doc_id", "x.unit").alias("first"), F.col("x.bands").alias("bands"), F.monotonically_increasing_id().alias("node")))
+    sets = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct(place().alias("first"), "mark", "bands")).alias("x"))
+    sets = cut(sets.select("key", "copies", "x.first", "x.mark", F.col("x.bands").alias("bands"), F.monotonically_increasing_id().alias("node")))
     hashed = sets.select("node", F.explode("bands").alias("band"))
     met = hashed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     stars = hashed.join(met, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     candidates = connected_components(stars)
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     placed = candidates.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    carriers = sets.select("node", "key", "copies", "first.doc_id", "first.unit")
+    carriers = sets.select("node", "key", "copies", "first.doc_id", "mark", "first.unit")
     wanted = cut(placed.join(carriers, "node"))
     full = shingle_sets(docs, wanted, units, width)
     # A set meets each block of its component once; small components share tasks.
@@ -215,20 +228,33 @@ def whole_text(text: str) -> list[tuple[int, list[str]]]:
 
 
 def jaccard_join(docs: DataFrame, target_recall: float = 0.9995, rows: int = 5, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Documents as near-duplicate classes: doc_id, class_id (the least doc_id of the class), n_copies (documents with equal shingle
+    """Documents as near-duplicate classes: doc_id, class_id (the least doc_id of the class, null if none has any), n_copies (documents with equal shingle
     sets, itself included) and n_links (other documents whose shingle sets reach `threshold`, copies included).
 
     Words are split at white space and compared in lower case; a text of one to four words is a single shingle. A text without words
     (null, empty, blank) links to nothing and is its own class. A row that is repeated (same doc_id, same set) counts once; a doc_id
     with different texts has a row for each. A pair of exactly the threshold is missed with a chance of 1 - `target_recall` at most.
     """
-    signed = cut(signatures(docs, whole_text, bands_for(target_recall, threshold, rows), rows, width).dropDuplicates(["doc_id", "key"]))
-    classes = near_classes(docs, signed, whole_text, threshold, width)
-    found = signed.select("doc_id", "key").join(classes, "key").select("doc_id", F.col("class_first.doc_id").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    alone = signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    signed, classes = _signed_classes(docs, target_recall, rows, threshold, width)
+    found = signed.where("key is not null").select("doc_id", "key").distinct().join(classes, "key").select("doc_id", F.col("class_first.doc_id").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = signed.where("key is null").select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
 
 
+def later_copies(docs: DataFrame, target_recall: float = 0.9995, rows: int = 5, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """(doc_id, mark) of the texts that are not the first of their near-duplicate class. Texts under the first's own doc_id stay with it."""
+    signed, classes = _signed_classes(docs, target_recall, rows, threshold, width)
+    found = signed.select("doc_id", "mark", "key", place().alias("own")).join(classes.where("copies > 1 or links > 0").select("key", "class_first"), "key")
+    return found.where(F.struct("own.nameless", "own.doc_id", "own.own_mark") != F.struct("class_first.nameless", "class_first.doc_id", "class_first.own_mark")).select("doc_id", "mark").distinct()
+
+
+def _signed_classes(docs: DataFrame, target_recall: float, rows: int, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the whole texts, a row for each, and the classes of their sets. Texts of a doc_id with equal sets count once;
+    without a doc_id they count by their marks only where the classes are named."""
+    signed = cut(signatures(docs, whole_text, bands_for(target_recall, threshold, rows), rows, width))
+    return signed, near_classes(docs, signed.dropDuplicates(["doc_id", "key"]), whole_text, threshold, width)
+
+
 class Paragraphs:
     """The lines of a text that have `least` words at least, by line number."""
 
@@ -248,7 +274,7 @@ def repeated_paragraphs(docs: DataFrame, least_words: int = 40, target_recall: f
     repeated rows of a document count once.
     """
     units = Paragraphs(least_words)
-    signed = cut(signatures(docs, units, bands_for(target_recall, threshold, rows), rows, width).dropDuplicates(["doc_id", "unit", "key"]))
+    signed = cut(signatures(docs, units, bands_for(target_recall, threshold, rows), rows, width).withColumn("place", place()).dropDuplicates(["place", "key"]))
     classes = near_classes(docs, signed, units, threshold, width)
-    found = signed.select("doc_id", "unit", "words", "key").join(classes.where("copies > 1 or links > 0"), "key").where(F.struct("doc_id", "unit") != F.col("class_first"))
+    found = signed.select("doc_id", "unit", "words", "key", "place").join(classes.where("copies > 1 or links > 0"), "key").where(F.col("place") != F.col("class_first"))
     return found.select("doc_id", F.col("unit").alias("paragraph"), F.col("words").alias("n_words"), F.col("class_first.doc_id").alias("kept_doc_id"), F.col("class_first.unit").alias("kept_paragraph"))

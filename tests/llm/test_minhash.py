@@ -82,6 +82,22 @@ def test_paragraphs_are_brute_force(spark):
     assert minhash.repeated_paragraphs(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_copies_without_an_id(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(80)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join([*words, "y"]), " ".join(reversed(words)), " ".join([*reversed(words), "x"])]
+    rows = [(None, texts[0]), *((i, texts[0]) for i in range(1, 6)), (6, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (8, "other words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 99, r["class_id"] or 99, r["n_copies"], r["n_links"]) for r in minhash.jaccard_join(docs).collect()))
+    assert got == [*((i, 1, 6, 7) for i in range(1, 6)), (6, 1, 1, 7), (8, 8, 1, 0), (99, 1, 1, 7), (99, 1, 6, 7), (99, 99, 1, 0), (99, 99, 1, 1), (99, 99, 1, 1)]
+    full = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, full, "").collect()]
+    assert len(kept) == 4 and {(1, texts[0]), (8, "other words"), (None, None)} < set(kept) and ({(None, texts[3]), (None, texts[4])} & set(kept))
+    found = minhash.repeated_paragraphs(docs).collect()
+    assert sorted((r["doc_id"] or 99, r["kept_doc_id"] or 99) for r in found) == [*((i, 1) for i in range(2, 7)), (99, 1), (99, 1), (99, 99)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 5000)]
