@@ -1,169 +1,266 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
-A line is the set of its words. Equal lines are one class from the start, represented by the first. The words of a class are ordered by
-rarity; two sets that reach the threshold share a word in their prefixes (for short lines: a pair of words), at positions and lengths
-that allow the overlap they need. Each prefix entry first meets the earliest line with the same entry; only lines that no earliest line
+A line is the set of its words. Equal sets are one class from the start, represented by the first line. The words of a class are ordered
+by rarity, and the prefix filter runs over the links of that order, the pairs of words that follow each other in it: two sets that reach
+the threshold share so many links that the first two fifths of either's links hold a common one. Links are far rarer than words, so
+nearly all of them occur once and fall out as soon as they are counted. What is left passes length and positional filters, then a
+comparison of 128-bit sketches, then the exact one. Each link first meets the earliest line with it; only lines that no earliest line
 removes meet the others, so a group of thousands of variants of one line stays linear as long as they resemble its first.
+
+Splitting, hashing and sorting words is numpy work inside tasks; the joins, counts and decisions are Spark's. (The forms without Python,
+of which the README gives the figures, did not meet the limits.)
 """
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, small_broadcast
+from .common import cut, cut_table, mixed, small_broadcast
 
-#: Lines with fewer different words are left alone.
-LEAST_WORDS = 5
 #: Similarity as a fraction, so that thresholds are exact integers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Lines up to `PAIRED` words are found by pairs of prefix words, those from `SINGLE` on by single ones; a pair of similar lines always
-#: has one of both kinds in common, as 9 and 11 words are the widest apart that reach the threshold below `SINGLE`.
-PAIRED, SINGLE = 11, 10
+#: Sets of fewer words reach the threshold with equal sets only.
+LINKED = 4
 #: Word counts are kept for so many hash buckets: any total order of words is right, a rarer word first is only faster.
-BUCKETS = 1 << 16
-#: Lines of one document; documents of one corpus: a line's id is its document's number and its own.
-LINE_BITS, DOCUMENT_BITS = 24, 39
+BUCKET_BITS = 16
+#: Characters that are looked at together; a longer line is looked at alone.
+TOGETHER = 1 << 20
 BROADCAST_ROWS = 1_000_000
 
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[[9, 10, 32]] = True
+LETTERS = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+FAR = np.uint64(0xD1342543DE82EF95)
+
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(number, doc_id, text) and, if there are other columns, `rest`, a struct of them; numbers are in the order of doc_id and free of repeats.
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(number, doc_id, text) and, if there are other columns, `rest`, a struct of them; and the bits that a line number may take.
+    Numbers are in the order of doc_id and free of repeats.
 
-    The doc_id itself, if all are there, different and within range, as counted here. Else the place of (doc_id, hash of the text) in
-    their order: nulls first, repeated rows once.
+    The number is the doc_id itself, if all are there, different and small enough to leave these bits. Else it is the place of (doc_id,
+    hash of the text) in their order: nulls first, repeated rows once.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.struct(*rest).alias("rest") for _ in rest[:1]))
     rest = own.columns[2:]
-    seen = own.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    if not seen["nulls"] and seen["n"] in (None, 1) and (seen["low"] or 0) >= 0 and (seen["high"] or 0) < 1 << DOCUMENT_BITS:
-        return own.select(F.col("doc_id").alias("number"), "doc_id", "text", *rest)
+    each = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"))
+    seen = each.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.max("longest").alias("longest"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    bits = max(1, int(seen["longest"] or 0).bit_length())
+    if not seen["nulls"] and seen["n"] in (None, 1) and (seen["low"] or 0) >= 0 and (seen["high"] or 0) < 1 << (63 - bits):
+        return own.select(F.col("doc_id").alias("number"), "doc_id", "text", *rest), bits
     marked = own.select("doc_id", F.xxhash64("text").alias("mark"), "text", *rest).dropDuplicates(["doc_id", "mark"])
     placed = cut(marked.select("doc_id", "mark").orderBy(F.asc_nulls_first("doc_id"), "mark").select("*", F.monotonically_increasing_id().alias("place")))
     share, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     widest = (placed.agg(F.max(at)).first()[0] or 0) + 1
     numbers = placed.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), (share * widest + at).alias("number"))
-    return marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("number", "doc_id", "text", *rest)
+    return marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("number", "doc_id", "text", *rest), bits
+
+
+def pieces(numbers: list[int], texts: list[str], bits: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Whole lines of about `TOGETHER` characters: the ids of their first lines, and the lines."""
+    ids: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for number, text in zip(numbers, texts, strict=True):
+        line, at = number << bits, 0
+        while at >= 0:
+            end = text.find("\n", at + TOGETHER) if len(text) - at > TOGETHER else -1
+            part = text[at:] if end < 0 else text[at:end]
+            ids.append(line)
+            parts.append(part)
+            size += len(part)
+            if size > TOGETHER:
+                yield ids, parts
+                ids, parts, size = [], [], 0
+            if end >= 0:
+                line += part.count("\n") + 1
+            at = end + 1 if end >= 0 else -1
+    if parts:
+        yield ids, parts
+
+
+def line_words(ids: list[int], parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, id): the words' 64-bit hashes with the places of their lines, in order, and the ids of all lines."""
+    raw = np.frombuffer("\n".join(parts).lower().encode("utf-8", "surrogatepass"), np.uint8)
+    counts = np.array([p.count("\n") + 1 for p in parts])
+    ends = np.cumsum(counts)
+    line_ids = np.arange(ends[-1]) + np.repeat(np.array(ids, np.int64) - (ends - counts), counts)
+    apart = SEPARATORS[raw]
+    edges = np.flatnonzero(np.diff(apart.view(np.int8), prepend=1, append=1))
+    starts = edges[::2]
+    lengths = edges[1::2] - starts
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), line_ids
+    offsets = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(offsets, lengths)
+    values = LETTERS[raw[~apart]] * POWERS[at & 0xFFFF]
+    if lengths.max() > 1 << 16:
+        values *= FAR ** (at >> 16).astype(np.uint64)
+    return np.searchsorted(np.flatnonzero(raw == 10), starts), mixed(np.add.reduceat(values, offsets)), line_ids
+
+
+def word_sets(place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, start, n, line): each line's different words, sorted by key, one line after the other."""
+    order = np.lexsort((key, place))
+    place, key = place[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    place, key = place[new], key[new]
+    start = np.flatnonzero(np.diff(place, prepend=-1))
+    return key, start, np.diff(start, append=len(key)), place[start]
+
+
+def prefix_links(n: np.ndarray) -> np.ndarray:
+    """How many links of a set of n words, from the rarest on, hold one in common with any set that reaches the threshold.
+
+    Sets of n and m words that share o of them have o - 1 shared words followed by a shared one, and each of the n + m - 2 o others parts
+    one such pair at most: 3 o - 1 - n - m links in common are left, with o >= 4 (n + m) / 9 at least (n + 4 n / 5) / 3 - 1 of the n - 1.
+    """
+    common = -(-(n - (-NUMERATOR * n // DENOMINATOR)) // 3) - 1
+    return np.where(n >= LINKED, n - common, 0)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, line) of `numbered` documents: trimmed and in lower case, with as many spaces as `LEAST_WORDS` words need."""
-    each = docs.select("number", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    number = F.when(F.col("at") < 1 << LINE_BITS, F.shiftleft("number", LINE_BITS).bitwiseOR(F.col("at").cast("long"))).otherwise(F.raise_error(F.lit("a document with too many lines")).cast("long"))
-    return each.select(number.alias("id"), F.lower(F.trim(F.replace("raw", F.lit("\t"), F.lit(" ")))).alias("line")).where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= LEAST_WORDS - 1)
+MARKS = "id long, h long, g long, n int, bits long, more long"
+Batches = Iterator[pa.RecordBatch]
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The rarity rank of each bucket of words, as a literal array of `BUCKETS` small numbers: a step is a factor of about 1.4."""
-    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(" "))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect()  # BUCKETS rows
-    ranks = [0] * BUCKETS
-    for r in counts:
-        ranks[r["bucket"]] = min(126, int(2 * math.log2(r["n"] + 1)))
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+def marks(own: DataFrame, bits: int) -> DataFrame:
+    """A row per line that has words (`MARKS`): two hashes of its set, the set's size and a sketch of 128 bits, of which each word flips
+    one; and rows without an id, h being a bucket of words and g how often words of a task fall into it."""
 
+    def look(batches: Batches) -> Batches:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
 
-def word_hashes(line: Column) -> Column:
-    """The different words of a line that is already lower case, as 64-bit hashes."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, F.lit(" ")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+        def rows(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 3 else pa.int64()) for k, c in enumerate(columns)], names=["id", "h", "g", "n", "bits", "more"])
 
+        for batch in batches:
+            for ids, parts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
+                place, h, line_ids = line_words(ids, parts)
+                if not len(h):
+                    continue
+                counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                key, start, n, line = word_sets(place, h)
+                bit, high = np.uint64(1) << (key & np.uint64(63)), key & np.uint64(64) != 0
+                sketch = [np.bitwise_xor.reduceat(np.where(high == half, bit, np.uint64(0)), start).view(np.int64) for half in (False, True)]
+                yield rows(line_ids[line], np.add.reduceat(mixed(key), start).view(np.int64), np.add.reduceat(mixed(key ^ FAR), start).view(np.int64), n, *sketch)
+        seen = np.flatnonzero(counts)
+        nothing = [None] * len(seen)
+        yield rows(nothing, seen, counts[seen], nothing, nothing, nothing)
 
-def ordered_keys(hashes: Column, ranks: Column) -> Column:
-    """Word hashes as sorted longs: rarity rank in the top 7 bits, 56 bits of the hash below."""
-    key = lambda h: F.shiftleft(F.element_at(ranks, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.transform(hashes, key))
+    return own.select("number", "text").mapInArrow(look, MARKS)
 
 
-def bitmap(hashes: Column) -> Column:
-    """Each word flips one bit of 64: two sets differ in as many words as their bitmaps in bits, or more. Long lines do not fill it up."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+def rarity(marked: DataFrame) -> np.ndarray:
+    """The rarity rank of each bucket of words: a step is a factor of about 1.4. One row a bucket reaches the driver."""
+    ranks = np.zeros(1 << BUCKET_BITS, np.uint64)
+    for r in marked.where("id is null").groupBy("h").agg(F.sum("g").alias("n")).collect():
+        ranks[r["h"]] = min(126, int(2 * math.log2(r["n"] + 1)))
+    return ranks
 
 
-def least_overlap(n: Column) -> Column:
-    """Words that a set of n shares at least with any that reaches the threshold."""
-    return F.ceil(n * NUMERATOR / DENOMINATOR - 1e-9).cast("int")
+def links(own: DataFrame, bits: int, ranks: np.ndarray) -> DataFrame:
+    """(id, n, links) for each line of at least `LINKED` different words: the hashes of the links of its prefix, in order."""
 
+    def look(batches: Batches) -> Batches:
+        for batch in batches:
+            for ids, parts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
+                place, h, line_ids = line_words(ids, parts)
+                if not len(h):
+                    continue
+                key, start, n, line = word_sets(place, ranks[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8))
+                wide = n >= LINKED
+                start, n, line = start[wide], n[wide], line[wide]
+                count = prefix_links(n)
+                offsets = np.concatenate([[0], np.cumsum(count)])
+                at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], count)
+                t = mixed(key[at] + mixed(key[at + 1] ^ FAR)) if len(at) else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(line_ids[line]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(t.view(np.int64)))], names=["id", "n", "links"])
 
-#: The places of the pairs of prefix words of a short line, by the later one.
-PAIRS = ((0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3))
+    return own.select("number", "text").mapInArrow(look, "id long, n int, links array<long>")
 
 
-def postings(firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(t, id, n, rest, got, bits, more): prefix entries t of each line, with its words, the words after the entry, the words in the entry
-    and the bitmaps of the line's even and odd hashes. The entries are plain longs, told apart by their places, so that all of it stays in
-    generated code. A line of fewer than `LEAST_WORDS` words has one row, with t = null."""
-    hashed = firsts.select("id", word_hashes(F.col("line")).alias("h"))
-    half = lambda odd: bitmap(F.filter("h", lambda h: h.bitwiseAND(1) == odd))
-    sized = hashed.select("id", F.size("h").alias("n"), half(0).alias("bits"), half(1).alias("more"), ordered_keys(F.col("h"), ranks).alias("k"))
-    prefix = F.col("n") - least_overlap(F.col("n")) + 1
-    none = F.array().cast("array<bigint>")
-    pairs = F.array(*[F.when(prefix >= j, F.xxhash64(F.get("k", F.lit(i)), F.get("k", F.lit(j)))) for i, j in PAIRS])
-    short = F.col("n").between(LEAST_WORDS, PAIRED)
-    entries = F.concat(F.when(short, pairs).otherwise(none), F.when(F.col("n") >= SINGLE, F.slice("k", F.lit(1), prefix)).otherwise(none))
-    # Exploded as an expression, not as a column: Spark would filter on a column's size first, and compute all of the above again for that.
-    each = sized.select("id", "n", "bits", "more", F.posexplode(F.when(F.col("n") < LEAST_WORDS, F.array(F.lit(None).cast("long"))).otherwise(entries)).alias("pos", "t"))
-    each = each.where(F.col("t").isNotNull() | (F.col("n") < LEAST_WORDS))
-    paired = short & (F.col("pos") < len(PAIRS))
-    last = F.when(paired, F.element_at(F.array(*[F.lit(j) for _, j in PAIRS]), F.col("pos") + 1)).when(short, F.col("pos") - len(PAIRS)).otherwise(F.col("pos"))
-    return each.select("t", "id", F.col("n").cast("int").alias("n"), (F.col("n") - last - 1).cast("int").alias("rest"), F.when(paired, 2).otherwise(1).alias("got"), "bits", "more")
+def least_shared(n: Column, m: Column) -> Column:
+    """Words that sets of n and m words share at least if they reach the threshold."""
+    return F.ceil((n + m) * (NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9)
 
 
-def may_reach(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters for two prefix entries, as columns a_n, a_rest, ..."""
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+def may_reach(a: Column, b: Column) -> Column:
+    """Length and positional filters for two lines with a link in common: `a` and `b` are n << 32 | place of the link."""
+    n, m, i, j = (F.shiftright(a, 32), F.shiftright(b, 32), a.bitwiseAND(0xFFFFFFFF), b.bitwiseAND(0xFFFFFFFF))
     lengths = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
-    need = F.ceil((n + m) * (NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9)
-    differ = F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits"))) + F.bit_count(F.col(f"{a}_more").bitwiseXOR(F.col(f"{b}_more")))
-    return lengths & (F.col(f"{a}_got") + F.least(F.col(f"{a}_rest"), F.col(f"{b}_rest")) >= need) & (differ <= n + m - 2 * need)
-
-
-CARRIED = ("id", "n", "rest", "got", "bits", "more")
-
-
-def named(df: DataFrame, side: str) -> DataFrame:
-    return df.select("t", *[F.col(c).alias(f"{side}_{c}") for c in CARRIED])
-
-
-def similar_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (late, early; cut) whose lines reach the threshold, by the hashes of all their words. Only the documents that hold these
-    lines are split again, and the lines are written once for both sides."""
-    ids = cut(pairs.select(F.explode(F.array("late", "early")).alias("wanted")).distinct())
-    holders = ids.select(F.shiftright("wanted", LINE_BITS).alias("holder")).distinct()
-    own = docs.join(small_broadcast(holders, BROADCAST_ROWS), F.col("number") == F.col("holder"), "left_semi")
-    texts = cut_table(lines_of(own).join(small_broadcast(ids, BROADCAST_ROWS), F.col("id") == F.col("wanted"), "left_semi").select("id", word_hashes(F.col("line")).alias("words")))
-    both = pairs.join(texts.select(F.col("id").alias("late"), F.col("words").alias("x")), "late").join(texts.select(F.col("id").alias("early"), F.col("words").alias("y")), "early")
-    sized = both.select("late", "early", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return lengths & (F.least(i, j) + F.least(n - i, m - j) >= least_shared(n, m))
+
+
+def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """(id, words): the different words' hashes of the lines `ids` (id). Only documents that hold such lines are split again."""
+    asked = ids.groupBy(F.shiftright("id", bits).alias("holder")).agg(F.collect_list(F.col("id")).alias("asked"))
+    held = own.select("number", "text").join(small_broadcast(asked, BROADCAST_ROWS // 10), F.col("number") == F.col("holder")).select("number", "text", "asked")
+
+    def look(batches: Batches) -> Batches:
+        for batch in batches:
+            for k, wanted in enumerate(batch.column(2)):
+                one = batch.slice(k, 1)
+                for ids, parts in pieces(one.column(0).to_pylist(), one.column(1).to_pylist(), bits):
+                    place, h, line_ids = line_words(ids, parts)
+                    asked_here = np.isin(line_ids, wanted.values.to_numpy())
+                    keep = asked_here[place] if len(h) else np.empty(0, bool)
+                    if keep.any():
+                        key, start, _, line = word_sets(place[keep], h[keep])
+                        yield pa.RecordBatch.from_arrays([pa.array(line_ids[line]), pa.ListArray.from_arrays(np.append(start, len(key)).astype(np.int32), pa.array(key.view(np.int64)))], names=["id", "words"])
+
+    return held.mapInArrow(look, "id long, words array<long>")
+
+
+def similar_pairs(tried: DataFrame, marked: DataFrame, own: DataFrame, bits: int) -> DataFrame:
+    """Those of `tried` (late, early) whose lines reach the threshold: by their sketches first, then by the hashes of all their words."""
+    sketch = lambda side: marked.where("id is not null").select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "bits", "more")])
+    both = small_broadcast(tried, BROADCAST_ROWS).join(sketch("late"), "late")
+    both = small_broadcast(cut(both), BROADCAST_ROWS).join(sketch("early"), "early")
+    differ = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits"))) + F.bit_count(F.col("late_more").bitwiseXOR(F.col("early_more")))
+    n, m = F.col("late_n"), F.col("early_n")
+    near = cut(both.where(differ <= n + m - 2 * least_shared(n, m)).select("late", "early"))
+    words = cut_table(chosen_sets(own, near.select(F.explode(F.array("late", "early")).alias("id")).distinct(), bits))
+    known = near.join(words.select(F.col("id").alias("late"), F.col("words").alias("x")), "late").join(words.select(F.col("id").alias("early"), F.col("words").alias("y")), "early")
+    sized = known.select("late", "early", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
     return sized.where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("n") - F.col("both"))).select("late", "early")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(own: DataFrame, bits: int) -> DataFrame:
     """(id): the lines of `numbered` documents that an earlier line matches, removed itself or not."""
-    hashed = lines_of(docs).select("id", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    marks = cut_table(hashed.select("id", "h", "g"))
-    repeated = cut(marks.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
-    known = small_broadcast(repeated, BROADCAST_ROWS)
-    later = cut(marks.join(known, ["h", "g"]).where("id != first").select("id", "first"))
-    firsts = hashed.select("id", "line").join(small_broadcast(later.select(F.col("id").alias("later")), BROADCAST_ROWS), F.col("id") == F.col("later"), "left_anti")
-    posted = cut_table(postings(firsts, rarity(docs)))
-    copies = later.join(posted.where("t is null").select(F.col("id").alias("first")), "first", "left_anti").select("id")
-    entries = posted.where("t is not null")
-    heads = entries.groupBy("t").agg(F.min(F.struct(*CARRIED)).alias("b")).select("t", *[F.col("b")[c].alias(f"b_{c}") for c in CARRIED])
-    tried = cut(named(entries, "a").join(heads, "t").where((F.col("a_id") != F.col("b_id")) & may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct())
-    by_first = cut(similar_pairs(tried, docs).select(F.col("late").alias("id")).distinct())
-    still = entries.join(small_broadcast(by_first, BROADCAST_ROWS), "id", "left_anti")
-    second = named(still, "a").join(named(entries, "b"), "t").where((F.col("b_id") < F.col("a_id")) & may_reach("a", "b")).select(F.col("a_id").alias("late"), F.col("b_id").alias("early")).distinct()
-    by_others = similar_pairs(cut(second), docs).select(F.col("late").alias("id")).distinct()
+    marked = cut_table(marks(own, bits))
+    lines = marked.where("id is not null")
+    repeated = cut(lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
+    copies = cut(lines.select("id", "h", "g").join(small_broadcast(repeated, BROADCAST_ROWS), ["h", "g"]).where("id != first").select("id"))
+    firsts = links(own, bits, rarity(marked)).join(small_broadcast(copies.select(F.col("id").alias("copy")), BROADCAST_ROWS), F.col("id") == F.col("copy"), "left_anti")
+    entries = firsts.select("id", "n", F.posexplode("links").alias("pos", "t")).select("t", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    # One shuffle serves both sides: the links are counted where they are, and most end here.
+    dealt = entries.repartition("t")
+    shared = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at")).where("lines > 1")
+    head_near = (F.col("id") != F.col("head")) & may_reach(F.col("at"), F.col("head_at"))
+    met = cut_table(dealt.join(shared.hint("shuffle_hash"), "t").select("t", "id", "at", "lines", "head", head_near.alias("near")).where("near or lines > 2"))
+    tried = cut(met.where("near").select(F.col("id").alias("late"), F.col("head").alias("early")).distinct())
+    by_first = cut(similar_pairs(tried, marked, own, bits).select(F.col("late").alias("id")).distinct())
+    more = met.where("lines > 2")
+    still = more.join(small_broadcast(by_first.select(F.col("id").alias("gone")), BROADCAST_ROWS), F.col("id") == F.col("gone"), "left_anti").select("t", F.col("id").alias("late"), F.col("at").alias("late_at"))
+    others = more.where("id != head").select("t", F.col("id").alias("early"), F.col("at").alias("early_at"))
+    second = still.join(others, "t").where((F.col("early") < F.col("late")) & may_reach(F.col("late_at"), F.col("early_at"))).select("late", "early").distinct()
+    by_others = similar_pairs(cut(second), marked, own, bits).select(F.col("late").alias("id")).distinct()
     return copies.union(by_first).union(by_others)
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`numbered` documents, and (number, gone) with the line numbers to remove, sorted, for those that lose any."""
-    own = numbered(docs)
-    gone = removed_lines(own.select("number", "doc_id", "text")).groupBy(F.shiftright("id", LINE_BITS).alias("number")).agg(F.sort_array(F.collect_set(F.col("id").bitwiseAND((1 << LINE_BITS) - 1).cast("int"))).alias("gone"))
+    own, bits = numbered(docs)
+    removed = removed_lines(own.select("number", "doc_id", "text"), bits)
+    gone = removed.groupBy(F.shiftright("id", bits).alias("number")).agg(F.sort_array(F.collect_set(F.col("id").bitwiseAND((1 << bits) - 1).cast("int"))).alias("gone"))
     return own, cut(gone)
 
 
@@ -171,9 +268,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined).
 
     A line goes if its set of words reaches a Jaccard similarity of 0.8 with any earlier line by (doc_id, line number), whether that one
-    stays or not. Words are split at spaces and tabs and compared in lower case. Lines of fewer than `LEAST_WORDS` different words
-    (blank lines too) stay. A null text is one empty line. Repeated rows (same doc_id and text) are one document; a null doc_id comes
-    first, different texts under one doc_id follow each other by a hash of the text.
+    stays or not. Words are split at spaces and tabs and compared in lower case. Lines without words stay. A null text is one empty line.
+    Repeated rows (same doc_id and text) are one document; a null doc_id comes first, different texts under one doc_id follow each other
+    by a hash of the text. Of a very long text, whole lines of about `TOGETHER` characters are held at a time; an empty table gives no
+    rows, and other columns, whatever their names, are not looked at.
     """
     own, gone = removals(docs.select("doc_id", "text"))
     sizes = own.select("number", "doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
@@ -201,7 +299,7 @@ WITH raw AS (
 ), line AS (
   SELECT doc_id, k, list_sort(list_distinct(list_filter(string_split(lower(trim(replace(raw, chr(9), ' '))), ' '), lambda w: w <> ''))) AS w FROM raw
 ), sets AS (
-  SELECT w, len(w) AS n, min({'d': doc_id, 'k': k}) AS first FROM line WHERE len(w) >= 5 GROUP BY w
+  SELECT w, len(w) AS n, min({'d': doc_id, 'k': k}) AS first FROM line WHERE len(w) >= 1 GROUP BY w
 ), ids AS (
   SELECT *, row_number() OVER (ORDER BY first) AS id FROM sets
 ), tok AS (
