@@ -48,8 +48,8 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 
 def small_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, as counted now; else `df` as it is, to be shuffled."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+    """`df` (narrow, and cut, as it is counted here) with a broadcast hint if it has at most `max_rows` rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 class WordHashes(dict):

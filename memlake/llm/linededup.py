@@ -31,7 +31,8 @@ LINKED = 4
 BUCKET_BITS = 16
 #: Characters that are looked at together; a longer line is looked at alone.
 TOGETHER = 1 << 20
-BROADCAST_ROWS = 1_000_000
+#: Rows that may be broadcast: of an id alone, of a few numbers, of a document's list.
+ID_ROWS, PAIR_ROWS, LIST_ROWS = 500_000, 200_000, 50_000
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[9, 10, 32]] = True
@@ -202,7 +203,7 @@ def may_reach(a: Column, b: Column) -> Column:
 def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     """(id, words): the different words' hashes of the lines `ids` (id). Only documents that hold such lines are split again."""
     asked = ids.groupBy(F.shiftright("id", bits).alias("holder")).agg(F.collect_list(F.col("id")).alias("asked"))
-    held = own.select("number", "text").join(small_broadcast(asked, BROADCAST_ROWS // 10), F.col("number") == F.col("holder")).select("number", "text", "asked")
+    held = own.select("number", "text").join(small_broadcast(cut(asked), LIST_ROWS), F.col("number") == F.col("holder")).select("number", "text", "asked")
 
     def look(batches: Batches) -> Batches:
         for batch in batches:
@@ -222,8 +223,8 @@ def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
 def similar_pairs(tried: DataFrame, marked: DataFrame, own: DataFrame, bits: int) -> DataFrame:
     """Those of `tried` (late, early) whose lines reach the threshold: by their sketches first, then by the hashes of all their words."""
     sketch = lambda side: marked.where("id is not null").select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "bits", "more")])
-    both = small_broadcast(tried, BROADCAST_ROWS).join(sketch("late"), "late")
-    both = small_broadcast(cut(both), BROADCAST_ROWS).join(sketch("early"), "early")
+    both = small_broadcast(tried, PAIR_ROWS).join(sketch("late"), "late")
+    both = small_broadcast(cut(both), PAIR_ROWS).join(sketch("early"), "early")
     differ = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits"))) + F.bit_count(F.col("late_more").bitwiseXOR(F.col("early_more")))
     n, m = F.col("late_n"), F.col("early_n")
     near = cut(both.where(differ <= n + m - 2 * least_shared(n, m)).select("late", "early"))
@@ -238,8 +239,8 @@ def removed_lines(own: DataFrame, bits: int) -> DataFrame:
     marked = cut_table(marks(own, bits))
     lines = marked.where("id is not null")
     repeated = cut(lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
-    copies = cut(lines.select("id", "h", "g").join(small_broadcast(repeated, BROADCAST_ROWS), ["h", "g"]).where("id != first").select("id"))
-    firsts = links(own, bits, rarity(marked)).join(small_broadcast(copies.select(F.col("id").alias("copy")), BROADCAST_ROWS), F.col("id") == F.col("copy"), "left_anti")
+    copies = cut(lines.select("id", "h", "g").join(small_broadcast(repeated, PAIR_ROWS), ["h", "g"]).where("id != first").select("id"))
+    firsts = links(own, bits, rarity(marked)).join(small_broadcast(copies.select(F.col("id").alias("copy")), ID_ROWS), F.col("id") == F.col("copy"), "left_anti")
     entries = firsts.select("id", "n", F.posexplode("links").alias("pos", "t")).select("t", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     # One shuffle serves both sides: the links are counted where they are, and most end here.
     dealt = entries.repartition("t")
@@ -249,7 +250,7 @@ def removed_lines(own: DataFrame, bits: int) -> DataFrame:
     tried = cut(met.where("near").select(F.col("id").alias("late"), F.col("head").alias("early")).distinct())
     by_first = cut(similar_pairs(tried, marked, own, bits).select(F.col("late").alias("id")).distinct())
     more = met.where("lines > 2")
-    still = more.join(small_broadcast(by_first.select(F.col("id").alias("gone")), BROADCAST_ROWS), F.col("id") == F.col("gone"), "left_anti").select("t", F.col("id").alias("late"), F.col("at").alias("late_at"))
+    still = more.join(small_broadcast(by_first.select(F.col("id").alias("gone")), ID_ROWS), F.col("id") == F.col("gone"), "left_anti").select("t", F.col("id").alias("late"), F.col("at").alias("late_at"))
     others = more.where("id != head").select("t", F.col("id").alias("early"), F.col("at").alias("early_at"))
     second = still.join(others, "t").where((F.col("early") < F.col("late")) & may_reach(F.col("late_at"), F.col("early_at"))).select("late", "early").distinct()
     by_others = similar_pairs(cut(second), marked, own, bits).select(F.col("late").alias("id")).distinct()
@@ -275,14 +276,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own, gone = removals(docs.select("doc_id", "text"))
     sizes = own.select("number", "doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
-    out = sizes.join(small_broadcast(gone, BROADCAST_ROWS), "number", "left")
+    out = sizes.join(small_broadcast(gone, LIST_ROWS), "number", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 def with_deduped_text(docs: DataFrame) -> DataFrame:
     """The documents, all their columns, with the text that `line_dedup` leaves. A document that loses every line has the empty text."""
     own, gone = removals(docs)
-    joined = own.join(small_broadcast(gone, BROADCAST_ROWS // 10), "number", "left")
+    joined = own.join(small_broadcast(gone, LIST_ROWS), "number", "left")
     kept = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("gone", k))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select("doc_id", text.alias("text"), *[F.col("rest")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")])
