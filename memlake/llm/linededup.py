@@ -128,6 +128,13 @@ def prefix_links(n: np.ndarray) -> np.ndarray:
     return np.where(n >= LINKED, n - common, 0)
 
 
+def least_links(n: Column, m: Column) -> Column:
+    """Links that the prefixes of sets of n and m words share at least if the sets reach the threshold: all that they share, but for those
+    behind the prefix that ends first."""
+    common = lambda x: F.ceil((x + F.ceil(x * NUMERATOR / DENOMINATOR - 1e-9)) / 3 - 1e-9) - 1
+    return F.greatest(3 * least_shared(n, m) - 1 - n - m - F.greatest(common(n), common(m)) + 1, F.lit(1))
+
+
 MARKS = "id long, h long, g long, n int, bits long, more long"
 Batches = Iterator[pa.RecordBatch]
 
@@ -159,16 +166,20 @@ def marks(own: DataFrame, bits: int) -> DataFrame:
     return own.select("number", "text").mapInArrow(look, MARKS)
 
 
-def rarity(marked: DataFrame) -> np.ndarray:
-    """The rarity rank of each bucket of words: a step is a factor of about 1.4. One row a bucket reaches the driver."""
-    ranks = np.zeros(1 << BUCKET_BITS, np.uint64)
+def rarity(marked: DataFrame) -> tuple[np.ndarray, int]:
+    """The rarity rank of each bucket of words (a step is a factor of about 1.4), and how many words there are. One row a bucket reaches
+    the driver."""
+    ranks, words = np.zeros(1 << BUCKET_BITS, np.uint64), 0
     for r in marked.where("id is null").groupBy("h").agg(F.sum("g").alias("n")).collect():
         ranks[r["h"]] = min(126, int(2 * math.log2(r["n"] + 1)))
-    return ranks
+        words += r["n"]
+    return ranks, words
 
 
-def links(own: DataFrame, bits: int, ranks: np.ndarray) -> DataFrame:
-    """(id, n, links) for each line of at least `LINKED` different words: the hashes of the links of its prefix, in order."""
+def links(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFrame:
+    """(id, n, links) for each line of at least `LINKED` different words: the hashes of the links of its prefix, in order. They have as
+    many bits as tell the links of so many words apart: what meets by chance is sorted out later, and short hashes shuffle cheaply."""
+    spare = np.uint64(max(1, 64 - words.bit_length() - 7))
 
     def look(batches: Batches) -> Batches:
         for batch in batches:
@@ -182,7 +193,7 @@ def links(own: DataFrame, bits: int, ranks: np.ndarray) -> DataFrame:
                 count = prefix_links(n)
                 offsets = np.concatenate([[0], np.cumsum(count)])
                 at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], count)
-                t = mixed(key[at] + mixed(key[at + 1] ^ FAR)) if len(at) else np.empty(0, np.uint64)
+                t = mixed(key[at] + mixed(key[at + 1] ^ FAR)) >> spare if len(at) else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(line_ids[line]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(t.view(np.int64)))], names=["id", "n", "links"])
 
     return own.select("number", "text").mapInArrow(look, "id long, n int, links array<long>")
@@ -240,20 +251,23 @@ def removed_lines(own: DataFrame, bits: int) -> DataFrame:
     lines = marked.where("id is not null")
     repeated = cut(lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
     copies = cut(lines.select("id", "h", "g").join(small_broadcast(repeated, PAIR_ROWS), ["h", "g"]).where("id != first").select("id"))
-    firsts = links(own, bits, rarity(marked)).join(small_broadcast(copies.select(F.col("id").alias("copy")), ID_ROWS), F.col("id") == F.col("copy"), "left_anti")
+    firsts = links(own, bits, *rarity(marked)).join(copies, "id", "left_anti")
     entries = firsts.select("id", "n", F.posexplode("links").alias("pos", "t")).select("t", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     # One shuffle serves both sides: the links are counted where they are, and most end here.
     dealt = entries.repartition("t")
     shared = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at")).where("lines > 1")
     head_near = (F.col("id") != F.col("head")) & may_reach(F.col("at"), F.col("head_at"))
-    met = cut_table(dealt.join(shared.hint("shuffle_hash"), "t").select("t", "id", "at", "lines", "head", head_near.alias("near")).where("near or lines > 2"))
-    tried = cut(met.where("near").select(F.col("id").alias("late"), F.col("head").alias("early")).distinct())
+    met = cut_table(dealt.join(shared.hint("shuffle_hash"), "t").select("t", "id", "at", "lines", "head", head_near.alias("near")).where("near or lines > 2 or id = head"))
+    # First each line meets the head that it shares most links with, then those that this does not remove meet all that are earlier.
+    votes = met.where("near").groupBy("id", "head").agg(F.count("*").alias("n"))
+    tried = cut(votes.groupBy("id").agg(F.max(F.struct("n", "head")).alias("x")).select(F.col("id").alias("late"), F.col("x.head").alias("early")))
     by_first = cut(similar_pairs(tried, marked, own, bits).select(F.col("late").alias("id")).distinct())
-    more = met.where("lines > 2")
-    still = more.join(small_broadcast(by_first.select(F.col("id").alias("gone")), ID_ROWS), F.col("id") == F.col("gone"), "left_anti").select("t", F.col("id").alias("late"), F.col("at").alias("late_at"))
-    others = more.where("id != head").select("t", F.col("id").alias("early"), F.col("at").alias("early_at"))
-    second = still.join(others, "t").where((F.col("early") < F.col("late")) & may_reach(F.col("late_at"), F.col("early_at"))).select("late", "early").distinct()
-    by_others = similar_pairs(cut(second), marked, own, bits).select(F.col("late").alias("id")).distinct()
+    side = lambda df, name: df.select("t", F.col("id").alias(name), F.col("at").alias(f"{name}_at"))
+    still = side(met.where("near or (lines > 2 and id != head)").join(by_first, "id", "left_anti"), "late")
+    together = still.join(side(met, "early"), "t").where((F.col("early") < F.col("late")) & may_reach(F.col("late_at"), F.col("early_at")))
+    counted = together.groupBy("late", "early", F.shiftright("late_at", 32).alias("n"), F.shiftright("early_at", 32).alias("m")).agg(F.count("*").alias("links"))
+    second = cut(counted.where(F.col("links") >= least_links(F.col("n"), F.col("m"))).select("late", "early"))
+    by_others = similar_pairs(second, marked, own, bits).select(F.col("late").alias("id")).distinct()
     return copies.union(by_first).union(by_others)
 
 
