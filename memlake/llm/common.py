@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_table(df: DataFrame) -> DataFrame:
     """As `cut`, but as a Parquet table: smaller for wide tables of numbers, and read by columns."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

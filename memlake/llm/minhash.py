@@ -253,28 +253,3 @@ def _signed_classes(docs: DataFrame, target_recall: float, rows: int, threshold:
     without a doc_id they count by their marks only where the classes are named."""
     signed = cut(signatures(docs, whole_text, bands_for(target_recall, threshold, rows), rows, width))
     return signed, near_classes(docs, signed.dropDuplicates(["doc_id", "key"]), whole_text, threshold, width)
-
-
-class Paragraphs:
-    """The lines of a text that have `least` words at least, by line number."""
-
-    def __init__(self, least: int):
-        self.least = least
-
-    def __call__(self, text: str) -> list[tuple[int, list[str]]]:
-        return [(k, words) for k, line in enumerate(text.lower().split("\n")) if len(words := line.split()) >= self.least]
-
-
-def repeated_paragraphs(docs: DataFrame, least_words: int = 40, target_recall: float = 0.998, rows: int = 5, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """A row for each paragraph to remove: doc_id, paragraph (line number from 0), n_words, and the paragraph that is kept of its class:
-    kept_doc_id, kept_paragraph.
-
-    A paragraph is a line with `least_words` words at least. Paragraphs whose sets of `width`-word shingles reach `threshold` are linked;
-    of each connected component the first by (doc_id, paragraph) stays. Null, empty and short texts have no paragraphs and no rows;
-    repeated rows of a document count once.
-    """
-    units = Paragraphs(least_words)
-    signed = cut(signatures(docs, units, bands_for(target_recall, threshold, rows), rows, width).withColumn("place", place()).dropDuplicates(["place", "key"]))
-    classes = near_classes(docs, signed, units, threshold, width)
-    found = signed.select("doc_id", "unit", "words", "key", "place").join(classes.where("copies > 1 or links > 0"), "key").where(F.col("place") != F.col("class_first"))
-    return found.select("doc_id", F.col("unit").alias("paragraph"), F.col("words").alias("n_words"), F.col("class_first.doc_id").alias("kept_doc_id"), F.col("class_first.unit").alias("kept_paragraph"))

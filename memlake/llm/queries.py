@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, lm, media, minhash, packing, pii, quality, secrets
+from . import decontaminate, linededup, lm, media, minhash, packing, passages, pii, quality, secrets
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -44,7 +44,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,26 +62,6 @@ def test_join_of_nothing(spark):
     assert sorted((r["doc_id"] or -1, r["n_links"]) for r in alone) == [(-1, 0), (1, 0)]
 
 
-def test_paragraphs_are_brute_force(spark):
-    rng = random.Random(5)
-    passage = [f"p{k}" for k in range(60)]
-    rows = {}
-    for i in range(40):
-        lines = [" ".join(f"r{rng.randrange(10**6)}" for _ in range(45)), "a short line", ""]
-        if i % 4 == 0:
-            lines.insert(1, noisy(rng, passage, i % 3))
-        if i % 10 == 0:
-            lines.append(lines[0])
-        rows[i] = "\n".join(lines)
-    rows |= {50: None, 51: ""}
-    df = spark.createDataFrame([(i, t, "p", 7, "k") for i, t in rows.items()], DOCS).repartition(3)
-    got = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in minhash.repeated_paragraphs(df, target_recall=0.99999).collect()}
-    units = {(i, k): line for i, t in rows.items() for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= 40}
-    named = classes(brute(units)[1])
-    assert got == {u: first for u, first in named.items() if u != first}
-    assert minhash.repeated_paragraphs(spark.createDataFrame([], DOCS)).count() == 0
-
-
 def test_copies_without_an_id(spark):
     import corpus_pipeline
 
@@ -94,8 +74,6 @@ def test_copies_without_an_id(spark):
     full = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "length(text) n_chars")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, full, "").collect()]
     assert len(kept) == 4 and {(1, texts[0]), (8, "other words"), (None, None)} < set(kept) and ({(None, texts[3]), (None, texts[4])} & set(kept))
-    found = minhash.repeated_paragraphs(docs).collect()
-    assert sorted((r["doc_id"] or 99, r["kept_doc_id"] or 99) for r in found) == [*((i, 1) for i in range(2, 7)), (99, 1), (99, 1), (99, 99)]
 
 
 def test_components(spark):
