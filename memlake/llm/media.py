@@ -108,9 +108,11 @@ def bmp_end(data: bytes, start: int) -> int | None:
 
 
 def pdf_end(data: bytes, start: int) -> int | None:
-    """The end of a PDF: its last %%EOF after a cross-reference pointer."""
-    end = data.find(b"%%EOF", start)
-    return end + 5 if end >= 0 and data.find(b"startxref", start, end) >= 0 else None
+    """The end of a PDF: its last %%EOF before another header, after a cross-reference pointer. So updates at its end belong to it, and
+    each stretch between headers is searched once."""
+    following = data.find(b"%PDF-", start + 5)
+    end = data.rfind(b"%%EOF", start, following if following >= 0 else len(data))
+    return end + 5 if end >= 0 and data.rfind(b"startxref", start, end) >= 0 else None
 
 
 #: Magic numbers, the media types they announce, and who confirms them.

@@ -35,10 +35,11 @@ def test_digest_is_an_exact_round_trip(spark):
 def test_sniffing_corrects_and_carves(spark):
     wav = media.wav_of(b"sample")
     bmp = b"BM" + struct.pack("<IIIIiiHH", 58, 0, 54, 40, 1, 1, 1, 24) + b"\0" * 28
-    for data, mime in ((png(), "image/png"), (GIF, "image/gif"), (JPEG, "image/jpeg"), (wav, "audio/wav"), (bmp, "image/bmp"), (PDF, "application/pdf")):
+    for data, mime in ((png(), "image/png"), (GIF, "image/gif"), (JPEG, "image/jpeg"), (wav, "audio/wav"), (bmp, "image/bmp"), (PDF, "application/pdf"), (PDF + b"\n2 0 obj\nstartxref\n40\n%%EOF", "application/pdf")):
         assert media.sniff(data)[0] == (mime, 0, len(data))
         assert media.sniff(b"text " + data + b" tail")[0] == (mime, 5, 5 + len(data))
-        assert not [x for x in media.sniff(data[:-1]) if x.start == 0]
+        assert not [x for x in media.sniff(data[:-1]) if x.start == 0] or data.startswith(PDF + b"\n")
+    assert [(x.start, x.end) for x in media.sniff(b"%PDF-" * 3 + PDF + PDF)] == [(15, 15 + len(PDF)), (15 + len(PDF), 15 + 2 * len(PDF))]
     broken = png().replace(b"IDAT", b"IDAX")
     df = spark.createDataFrame([(1, bytearray(wav), "image/png"), (2, bytearray(b"junk" + png() + b"RIFF" + GIF), "text/plain"), (3, None, None), (4, bytearray(broken), None)], "k int, data binary, kind string")
     got = {r["k"]: r for r in media.sniff_media(df, "k", "data", "kind").collect()}
