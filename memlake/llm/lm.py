@@ -136,7 +136,12 @@ def key64(word: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(word), "little", signed=True)
 
 
-ROW = "doc_id long, h long, tokens long, known long, base double, lattice double, copies int, mark long"
+def key32(word: bytes) -> int:
+    """Another hash, by another function: words are told apart by 96 bits."""
+    return int.from_bytes(xxhash.xxh32_digest(word), "little", signed=True)
+
+
+ROW = "doc_id long, h long, g int, tokens long, known long, base double, lattice double, copies int, mark long"
 
 
 def score_texts(docs: DataFrame, model_path: str, modulus: int, remainder: int, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -159,20 +164,24 @@ def score_texts(docs: DataFrame, model_path: str, modulus: int, remainder: int,
 
     def figures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"h": [key64(w) for w in x["word"]], "n": x["n"], "word_lattice": [lattice(w) for w in x["word"]]})
+            yield pd.DataFrame({"h": [key64(w) for w in x["word"]], "g": [key32(w) for w in x["word"]], "n": x["n"], "word_lattice": [lattice(w) for w in x["word"]]})
+
+    def spelt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield x.assign(word_lattice=[lattice(w) for w in x["word"]])
 
-    lexicon = words.mapInPandas(figures, "h long, n long, word_lattice double")
+    lexicon = words.mapInPandas(figures, "h long, g int, n long, word_lattice double")
     least = frequent_from(words, frequent_words)
-    top = words.where(F.lit(least is not None) & (F.col("n_all") >= F.lit(least or 0))).select("word", "n").toPandas()  # frequent_words rows at most
+    top = words.where(F.lit(least is not None) & (F.col("n_all") >= F.lit(least or 0))).select("word", "n").mapInPandas(spelt, "word binary, n long, word_lattice double").toPandas()  # frequent_words rows at most
     at = {bytes(w): k for k, w in enumerate(top["word"])}
     n = top["n"].to_numpy(np.int64)
     # The last row stands for the words that are not here.
-    held = np.vstack([np.stack([n > 0, np.log10(n + 1.0) - floor, [lattice(w) for w in at]], axis=1).reshape(-1, 3), np.zeros(3)])
+    held = np.vstack([np.stack([n > 0, np.log10(n + 1.0) - floor, top["word_lattice"].to_numpy(np.float64)], axis=1).reshape(-1, 3), np.zeros(3)])
     frequent = docs.sparkSession.sparkContext.broadcast((at, held))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = frequent.value
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32(), pa.int64()]
+        kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int32(), pa.int64()]
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -184,7 +193,7 @@ def score_texts(docs: DataFrame, model_path: str, modulus: int, remainder: int,
                 mark = key64(raw.encode("utf-8", "surrogatepass"))
                 rare = Counter([found[k] for k in np.flatnonzero(ids < 0)])
                 more = len(rare)
-                for col, value, rest in zip(cols, (doc_id, mark, len(found), int(sums[0]), sums[1], sums[2], 1, mark), ([doc_id] * more, map(key64, rare), rare.values(), [0] * more, [0.0] * more, [0.0] * more, [0] * more, [mark] * more), strict=True):
+                for col, value, rest in zip(cols, (doc_id, mark, 0, len(found), int(sums[0]), sums[1], sums[2], 1, mark), ([doc_id] * more, map(key64, rare), map(key32, rare), rare.values(), [0] * more, [0.0] * more, [0.0] * more, [0] * more, [mark] * more), strict=True):
                     col.append(value)
                     col.extend(rest)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
@@ -192,7 +201,7 @@ def score_texts(docs: DataFrame, model_path: str, modulus: int, remainder: int,
     # A row for each text with the sums over its frequent words (copies = 1), and one for each of its other words (copies = 0), which
     # meets the word's figures. The former are dealt out by a hash of the text and match nothing.
     rows = own.mapInArrow(look_up, ROW)
-    met = rows.join(lexicon, (rows.h == lexicon.h) & (rows.copies == 0), "left")
+    met = rows.join(lexicon, (rows.h == lexicon.h) & (rows.g == lexicon.g) & (rows.copies == 0), "left")
     base = F.log10(F.col("n") + 1) - F.lit(floor)
     own_or = lambda c, other: F.when(F.col("copies") == 1, F.col(c)).otherwise(F.col("tokens") * other).alias(c)
     each = met.select("doc_id", "mark", "copies", F.when(F.col("copies") == 1, F.col("tokens")).otherwise(0).alias("tokens"), own_or("known", (F.col("n") > 0).cast("long")), own_or("base", base), own_or("lattice", F.col("word_lattice")))

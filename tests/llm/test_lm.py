@@ -57,3 +57,26 @@ def test_lattice_sums_all_segmentations():
 
 def test_nothing(spark):
     assert lm.lattice_scores(spark.createDataFrame([], DOCS), MODEL).count() == 0
+
+
+def test_a_document_is_the_sum_over_all_spellings(spark):
+    """Against plain enumeration: every way to cut a word, its mark included, into pieces of the vocabulary or single characters as bytes."""
+    words = spark.createDataFrame([(bytearray(w), n, n) for w, n in ((b"the", 9), (b"house", 2), (b"h\xc3\xa9", 1), (lm.END, 3))], "word binary, n long, n_all long")
+    pieces = lm.trained_pieces(words, MODEL)
+
+    def spellings(s):
+        if not s:
+            return 1.0
+        total = 10 ** sum(pieces.bytes[b] for b in s[0].encode()) * spellings(s[1:])
+        return total + sum(10 ** pieces.weights[s[:k]] * spellings(s[k:]) for k in range(1, len(s) + 1) if s[:k] in pieces.weights)
+
+    for word in ("the", "house", "hé", "zq", "日本"):
+        assert pieces.word(word) == pytest.approx(math.log10(spellings("▁" + word)), abs=1e-9)
+    rows = [(1, "the house the"), (3, "hé zq"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(t for i, text in rows if not held(i) for t in tokens(text))
+    model = lm.trained_pieces(spark.createDataFrame([(bytearray((w or "\n").encode()), n, n) for w, n in counts.items()], "word binary, n long, n_all long"), MODEL)
+    for frequent in (0, 100):
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, MODEL, 7, 2, frequent_words=frequent).collect()}
+        assert got == pytest.approx({i: sum(model.end if t is None else model.word(t) for t in tokens(text)) for i, text in rows}, abs=1e-9)
