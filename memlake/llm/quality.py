@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_remainder, intake
+from .common import cut, hash_sample, id_remainder, intake
 
 WORDS, SHAPES, DIM = 8192, 512, 48
-#: The labelled documents that are learnt from, at most: those with the least hash of their id.
+#: The labelled documents that are learnt from, about: those with the least hashes of their ids.
 SAMPLE = 6000
 FEATURES = 2 * DIM + 4
 HIDDEN, EPOCHS, BATCH = 32, 60, 256
@@ -32,11 +32,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def shape_of(token: str) -> str:
     """Runs of capitals, small letters and digits as X, x and 9; marks as they are, repeats once."""
     out = []
-    for c in token[:64]:
+    for c in token:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class TokenCodes(dict):
@@ -147,11 +147,12 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most `sample` labelled documents, without those of crc32(doc_id) mod 5 = 0. The labels' size is so bounded by
-    `sample`, and they alone are broadcast."""
+    """(text, y) of about `sample` labelled documents, without those of crc32(doc_id) mod 5 = 0. Of several labels of a doc_id the least
+    counts, of several texts the one with the least hash. The labels' size is so bounded by `sample`, and they alone are broadcast."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(id_remainder("doc_id", 5) != 0)
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return intake(docs).join(F.broadcast(chosen), "doc_id").select("text", "y").repartition(8)
+    chosen = hash_sample(usable.groupBy("doc_id").agg(F.min("y").alias("y")), sample, "doc_id")
+    own = intake(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return own.select("text", "y").repartition(8)
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import intake
+from .common import hash_sample, intake
 from .spans import SPAN, listed, spans_of
 
 #: The credential forms. Minimum lengths are part of the last two; the first is filtered by its second group.
@@ -39,11 +39,11 @@ def codes(text: Column) -> Column:
 
 def labelled_samples(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(text, label): hexadecimal, base-64 and capital random strings (1), made from SHA-256 of a counter; words and joined words (0) of
-    the `WORD_DOCUMENTS` documents whose ids have the least hashes."""
+    about `WORD_DOCUMENTS` documents."""
     digest = spark.range(RANDOM_STRINGS).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("h"))
     forms = F.array("h", F.substring(F.base64(F.unhex("h")), 1, 40), F.translate(F.upper(F.substring(F.base64(F.unhex("h")), 1, 24)), "+/=", "7Q3"))
     random = digest.select(F.explode(forms).alias("text"), F.lit(1).alias("label"))
-    chosen = intake(docs).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(WORD_DOCUMENTS)
+    chosen = hash_sample(intake(docs), WORD_DOCUMENTS, "doc_id", "text")
     words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) >= 3)
     joined = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws("_", F.element_at("w", i), F.element_at("w", i + 1)))
     plain = chosen.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.concat("w", joined)).alias("text"), F.lit(0).alias("label"))
