@@ -22,10 +22,13 @@ def intake(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, which the session names in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The cluster's shared folder, which the session names in spark.checkpoint.dir. One of our own only in local mode, as in tests."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="memlake-"))
     return context.getCheckpointDir()
 
 
@@ -47,9 +50,18 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
-def small_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` (narrow, and cut, as it is counted here) with a broadcast hint if it has at most `max_rows` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def small_broadcast(df: DataFrame, most: int, list_col: str | None = None) -> DataFrame:
+    """`df` (narrow, and cut, as it is counted here) with a broadcast hint if it has at most `most` rows, or, with a column of lists, at
+    most so many items of lists, a row counting as four; else as it is, to be shuffled."""
+    held = df.count() if list_col is None else df.agg(F.coalesce(F.sum(F.size(list_col) + 4), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= most else df
+
+
+def hash_sample(df: DataFrame, wanted: int, *by: str) -> DataFrame:
+    """About `wanted` rows of `df`, all if it has no more: those with the least hashes of the columns `by`, by a threshold taken from a
+    count, so that nothing is sorted or gathered."""
+    n = df.count()
+    return df if n <= wanted else df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int((1 << 40) * wanted / n))
 
 
 class WordHashes(dict):

@@ -31,8 +31,8 @@ LINKED = 4
 BUCKET_BITS = 16
 #: Characters that are looked at together; a longer line is looked at alone.
 TOGETHER = 1 << 20
-#: Rows that may be broadcast: of an id alone, of a few numbers, of a document's list.
-ID_ROWS, PAIR_ROWS, LIST_ROWS = 500_000, 200_000, 50_000
+#: What may be broadcast: rows of a few numbers, items of lists.
+PAIR_ROWS, LIST_ITEMS = 200_000, 2_000_000
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[9, 10, 32]] = True
@@ -214,7 +214,7 @@ def may_reach(a: Column, b: Column) -> Column:
 def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     """(id, words): the different words' hashes of the lines `ids` (id). Only documents that hold such lines are split again."""
     asked = ids.groupBy(F.shiftright("id", bits).alias("holder")).agg(F.collect_list(F.col("id")).alias("asked"))
-    held = own.select("number", "text").join(small_broadcast(cut(asked), LIST_ROWS), F.col("number") == F.col("holder")).select("number", "text", "asked")
+    held = own.select("number", "text").join(small_broadcast(cut(asked), LIST_ITEMS, "asked"), F.col("number") == F.col("holder")).select("number", "text", "asked")
 
     def look(batches: Batches) -> Batches:
         for batch in batches:
@@ -290,14 +290,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own, gone = removals(docs.select("doc_id", "text"))
     sizes = own.select("number", "doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
-    out = sizes.join(small_broadcast(gone, LIST_ROWS), "number", "left")
+    out = sizes.join(small_broadcast(gone, LIST_ITEMS, "gone"), "number", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 def with_deduped_text(docs: DataFrame) -> DataFrame:
     """The documents, all their columns, with the text that `line_dedup` leaves. A document that loses every line has the empty text."""
     own, gone = removals(docs)
-    joined = own.join(small_broadcast(gone, LIST_ROWS), "number", "left")
+    joined = own.join(small_broadcast(gone, LIST_ITEMS, "gone"), "number", "left")
     kept = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("gone", k))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select("doc_id", text.alias("text"), *[F.col("rest")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")])

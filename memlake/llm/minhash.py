@@ -24,8 +24,8 @@ from .components import connected_components
 WIDTH, THRESHOLD = 5, 0.8
 #: Classes of a block on average; a task verifies two blocks.
 BLOCK = 256
-#: Rows of three numbers that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Sets whose places may be broadcast, of some hundred bytes each; more are joined by a shuffle.
+BROADCAST_ITEMS = 500_000
 
 Units = Callable[[str], list[tuple[int, list[str]]]]
 
@@ -173,8 +173,8 @@ def verify_blocks(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, units: Units, width: int = WIDTH) -> DataFrame:
     """`wanted` (node, component, blk, blocks, copies, key and the doc_id, mark and unit that carry it) with the full shingle sets."""
-    carriers = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("unit", "key", "node", "component", "blk", "blocks", "copies")).alias("own"))
-    texts, carriers = marked(docs), small_broadcast(carriers, BROADCAST_ROWS)
+    carriers = cut(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("unit", "key", "node", "component", "blk", "blocks", "copies")).alias("own")))
+    texts, carriers = marked(docs), small_broadcast(carriers, BROADCAST_ITEMS, "own")
     joined = texts.join(carriers, texts.doc_id.eqNullSafe(carriers.doc_id) & (texts.mark == carriers.mark)).select("own", "text")
     own = pa.schema([(x, pa.int64()) for x in ("node", "component", "blk", "blocks", "copies")] + [("shingles", pa.binary())])
 

@@ -31,7 +31,7 @@ LEAST_PASSAGE = 20
 ROWS, TARGET = 2, 0.99
 #: Sets of a bucket that are verified together, on average.
 BLOCK = 256
-PAIR_ROWS, LIST_ROWS = 200_000, 50_000
+LIST_ITEMS = 2_000_000
 SPACE = re.compile("[ \t\n]")
 Batches = Iterator[pa.RecordBatch]
 
@@ -133,7 +133,7 @@ def paragraphs(own: DataFrame, bits: int, bands: int, spare: int, width: int = W
 def shingle_sets(own: DataFrame, ids: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
     """(id, shingles): the different shingles of the paragraphs `ids` (id). Only documents that hold such paragraphs are cut again."""
     asked = cut(ids.groupBy(F.shiftright("id", bits).alias("holder")).agg(F.collect_list(F.col("id")).alias("asked")))
-    held = own.join(small_broadcast(asked, LIST_ROWS), F.col("number") == F.col("holder")).select("number", "text", "asked")
+    held = own.join(small_broadcast(asked, LIST_ITEMS, "asked"), F.col("number") == F.col("holder")).select("number", "text", "asked")
 
     def look(batches: Batches) -> Batches:
         found = Paragraphs()
