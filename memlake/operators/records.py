@@ -101,9 +101,15 @@ def contradictions(decisions: DataFrame, against: DataFrame, terms: int) -> Data
         held = [F.struct(F.lit(k).alias("term"), F.lit(side).alias("side"), has_term(low, word).alias("has")) for k, pair in enumerate(CONTRADICTIONS[:terms]) for side, word in enumerate(pair)]
         return df.select("id", "scope", "project_id", F.explode(F.filter(F.array(*held), lambda x: x["has"])).alias("x")).select("id", "scope", "project_id", "x.term", "x.side")
 
-    own = sides(decisions)
-    totals = sides(against).groupBy("scope", "project_id", "term", (1 - F.col("side")).alias("side")).agg(F.count("*").alias("others"), F.min("id").alias("first_other"))
-    met = own.join(totals, ["scope", "project_id", "term", "side"])
+    own, key = sides(decisions), ["scope", "project_id", "term", "side"]
+    facing = sides(against).withColumn("side", 1 - F.col("side"))
+    firsts = facing.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    seconds = facing.join(firsts, key).where("id != first").groupBy(*key).agg(F.min("id").alias("second"))
+    # A decision that holds both sides of a pair does not stand against itself.
+    itself = own.select("id", *key, F.lit(1).alias("both")).join(facing.select("id", *key), ["id", *key], "left_semi")
+    met = own.join(firsts, key).join(seconds, key, "left").join(itself, ["id", *key], "left")
+    first = F.when(F.col("both").isNotNull() & (F.col("first") == F.col("id")), F.col("second")).otherwise(F.col("first"))
+    met = met.select("id", *key, (F.col("n") - F.coalesce("both", F.lit(0))).alias("others"), first.alias("first_other")).where("others > 0")
     least = met.groupBy("id").agg(F.min(F.struct("term", "side", "others", "first_other")).alias("x"))
     return least.select("id", "x.term", "x.others", "x.first_other")
 

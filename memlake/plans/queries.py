@@ -263,7 +263,7 @@ def content_shapes(spark, sf_dir):
 
 _TERMS = " UNION ALL ".join(f"SELECT store_ordinal AS id, scope, project_id, {k} AS term, {side} AS side FROM decisions WHERE {rlike('lower(content)', text.term_pattern(word))}" for k, pair in enumerate(records.CONTRADICTIONS[: records.IN_BATCH]) for side, word in enumerate(pair))
 _CONTRADICT = f"""decisions AS (SELECT * FROM statements WHERE type = 'decision'), sides AS ({_TERMS}),
- met AS (SELECT x.id, x.term, x.side, count(*) AS others, min(y.id) AS first_other FROM sides x JOIN sides y ON x.scope = y.scope AND x.project_id = y.project_id AND x.term = y.term AND x.side <> y.side GROUP BY x.id, x.term, x.side),
+ met AS (SELECT x.id, x.term, x.side, count(*) AS others, min(y.id) AS first_other FROM sides x JOIN sides y ON x.scope = y.scope AND x.project_id = y.project_id AND x.term = y.term AND x.side <> y.side AND x.id <> y.id GROUP BY x.id, x.term, x.side),
  first_term AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY term, side) = 1)"""
 
 
@@ -295,20 +295,31 @@ def truth_decisions(spark, sf_dir):
     return records.truth_decisions(views.candidates(spark, sf_dir), views.statements(spark, sf_dir), views.projects(spark, sf_dir))
 
 
-@query(f"""{M} SELECT memory_id, violations FROM (SELECT memory_id, concat_ws(',', CASE WHEN trim(content) = '' THEN 'content_empty' END, CASE WHEN scope = 'project' AND project_id = '' THEN 'project_without_id' END,
- CASE WHEN status = 'superseded' AND superseded_by = '' THEN 'superseded_without_target' END, CASE WHEN is_approved AND quality_score < 0.05 THEN 'quality_low_but_approved' END) AS violations FROM memories) WHERE violations <> ''""")
+#: Records with a fault of each kind, by the place in the store.
+_FAULTS = {"content": ("31", "''"), "type": ("37", "'odd'"), "status": ("41", "'odd'"), "project_id": ("43", "CASE WHEN scope = 'global' THEN 'p_x' ELSE '' END"), "superseded_by": ("49", "''"), "confidence": ("53", "1.5e0")}
+_FAULTY = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN store_ordinal % {n} = 0 THEN {v} ELSE {c} END AS {c}" for c, (n, v) in _FAULTS.items()) + ") FROM memories"
+
+
+@query(f"""{M}, faulty AS ({_FAULTY}) SELECT memory_id, violations FROM (SELECT memory_id, concat_ws(',', CASE WHEN trim(content) = '' THEN 'content_empty' END,
+ CASE WHEN type NOT IN ('decision', 'lesson', 'open_loop', 'observation', 'preference') THEN 'type_unknown' END, CASE WHEN status NOT IN ('active', 'resolved', 'superseded') THEN 'status_unknown' END,
+ CASE WHEN scope = 'global' AND project_id <> '' THEN 'global_with_project' END, CASE WHEN scope = 'project' AND project_id = '' THEN 'project_without_id' END,
+ CASE WHEN status = 'superseded' AND superseded_by = '' THEN 'superseded_without_target' END, CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence_range' END,
+ CASE WHEN is_approved AND quality_score < 0.05 THEN 'quality_low_but_approved' END) AS violations FROM faulty) WHERE violations <> ''""")
 def store_violations(spark, sf_dir):
-    return records.store_violations(views.memories(spark, sf_dir))
+    faults = {c: F.expr(f"CASE WHEN store_ordinal % {n} = 0 THEN {v} ELSE {c} END") for c, (n, v) in _FAULTS.items()}
+    return records.store_violations(views.memories(spark, sf_dir).withColumns(faults))
 
 
 _STATEMENT_SETS = f"SELECT store_ordinal AS id, type AS block, {TOKENS % 'content'} AS t FROM statements"
 
 
-@query(f"""{S}, own AS ({_STATEMENT_SETS} WHERE store_ordinal % 7 = 0), old AS ({_STATEMENT_SETS} WHERE store_ordinal % 7 <> 0), best AS (SELECT o.id, n.id AS other, {jaccard('o.t', 'n.t')} AS similarity FROM own o JOIN old n USING (block))
-SELECT id, other, round(similarity, 6) AS similarity FROM best WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) = 1""")
+@query(f"""{S}, own AS ({_STATEMENT_SETS}), best AS (SELECT o.id, n.id AS other, {jaccard('o.t', 'n.t')} AS similarity FROM own o JOIN own n ON o.block = n.block AND n.id < o.id AND 100 * least(len(o.t), len(n.t)) >= 85 * greatest(len(o.t), len(n.t)))
+SELECT id, other, round(similarity, 6) AS similarity FROM best WHERE similarity > 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) = 1""")
 def uniqueness_best(spark, sf_dir):
     own = views.statements(spark, sf_dir).select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), text.tokens(F.col("content")).alias("tokens"))
-    return rounded(similarity.best_overlap(own.where("id % 7 = 0"), own.where("id % 7 != 0"), 0.3), "similarity")
+    pairs = similarity.similar_sets(own, 0.85).where("similarity > 0.85")
+    best = pairs.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("similarity", (-F.col("a")).alias("neg"))).alias("x"))
+    return rounded(best.select("id", (-F.col("x.neg")).alias("other"), "x.similarity"), "similarity")
 
 
 @query(f"""{S} SELECT memory_id, round(4e-1 * (CASE {commitment_sql('lower(content)', quoted('user'))} WHEN 'COMMITTED' THEN 1e0 WHEN 'OBSERVED' THEN 55e-2 WHEN 'HYPOTHETICAL' THEN 15e-2 WHEN 'QUESTION' THEN 1e-1 WHEN 'NEGATED' THEN 2e-1 WHEN 'QUOTED' THEN 5e-2 ELSE 3e-1 END)
@@ -358,10 +369,16 @@ def graph_traverse(spark, sf_dir):
     return graph.distances(graph.edges(views.statements(spark, sf_dir)), "phase_7", 2)
 
 
-@query(f"{S}, {_EDGES} SELECT node, 'missing' AS problem FROM (SELECT memory_id AS node FROM own) WHERE node NOT IN (SELECT node FROM nodes)")
+@query(f"""{S}, eligible AS (SELECT * FROM statements WHERE status = 'active' AND is_approved), stale AS (SELECT * FROM statements WHERE status = 'active' AND at_s < {AS_OF - 7 * 86400}),
+ placed AS (SELECT memory_id FROM stale WHERE scope = 'project' AND quality_score >= 0.1)
+SELECT memory_id AS node, 'missing' AS problem FROM eligible ANTI JOIN stale USING (memory_id) UNION ALL SELECT memory_id, 'unexpected' FROM stale ANTI JOIN eligible USING (memory_id)
+UNION ALL SELECT memory_id, 'belongs_to' FROM (SELECT e.memory_id FROM eligible e SEMI JOIN stale USING (memory_id) WHERE e.scope = 'project') ANTI JOIN placed USING (memory_id)""")
 def projection_check(spark, sf_dir):
     s = views.statements(spark, sf_dir)
-    return graph.projection_check(s, graph.nodes(s))
+    stale = s.where((F.col("status") == "active") & (F.col("at_s") < AS_OF - 7 * 86400))  # a projection of a week ago, which knew of no approvals
+    nodes = stale.select(F.col("memory_id").alias("node"), F.lit("MEMORY").alias("node_type"))
+    edges = stale.where("scope = 'project' and quality_score >= 0.1").select(F.col("memory_id").alias("src"), F.lit("BELONGS_TO").alias("rel_type"))
+    return graph.projection_check(s, nodes, edges)
 
 
 # --- Ledger, sessions, usage --------------------------------------------------------------------------------------------------------

@@ -68,8 +68,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short records: the opening of a text and one of the phrases."""
-    content = F.concat(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 80), F.lit(" "), pick(PHRASES, F.col("doc_id") % len(PHRASES)))
+    """Records that say something: a text and one of the phrases."""
+    content = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit(" "), pick(PHRASES, F.col("doc_id") % len(PHRASES)))
     return _records(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), content)
 
 
@@ -78,7 +78,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(order))
     approves = (F.col("role") == "user") & (F.col("before") == "assistant") & (F.col("conv_id") % 3 == 0)
-    content = F.when(approves, pick(AFFIRMATIONS, F.col("conv_id") % 4)).when(F.col("role") == "assistant", F.concat(F.substring("text", 1, 80), F.lit(" "), pick(PHRASES, (F.col("conv_id") + F.col("turn")) % 16))).otherwise(F.col("text"))
+    content = F.when(approves, pick(AFFIRMATIONS, F.col("conv_id") % 4)).when(F.col("role") == "assistant", F.concat("text", F.lit(" "), pick(PHRASES, (F.col("conv_id") + F.col("turn")) % 16))).otherwise(F.col("text"))
     return turns.select(F.col("conv_id").alias("session"), F.col("turn").alias("ordinal"), "role", content.alias("content"))
 
 
@@ -132,10 +132,10 @@ _PHRASE = f"{_sql_list(PHRASES)}[CAST(%s AS INTEGER) + 1]"
 #: The same views for the oracle, by name; `with_views` puts together those that a query needs.
 SQL = {
     "memories": _sql_records("coalesce(d.text, '')"),
-    "statements": _sql_records(f"(substr(coalesce(d.text, ''), 1, 80) || ' ' || {_PHRASE % 'd.doc_id % 16'})"),
+    "statements": _sql_records(f"(coalesce(d.text, '') || ' ' || {_PHRASE % 'd.doc_id % 16'})"),
     "evidence": f"""SELECT conv_id AS session, turn AS ordinal, role,
   CASE WHEN role = 'user' AND before = 'assistant' AND conv_id % 3 = 0 THEN {_sql_list(AFFIRMATIONS)}[CAST(conv_id % 4 AS INTEGER) + 1]
-       WHEN role = 'assistant' THEN substr(text, 1, 80) || ' ' || {_PHRASE % '(conv_id + turn) % 16'} ELSE text END AS content
+       WHEN role = 'assistant' THEN text || ' ' || {_PHRASE % '(conv_id + turn) % 16'} ELSE text END AS content
 FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""",
     "ledger": "SELECT event_id AS ordinal, user_id AS session, event_id % 997 AS job, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " END AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1 AS attempt, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events",
     "deliveries": "SELECT 'mem_' || lpad(CAST(event_id % 199 AS VARCHAR), 8, '0') AS memory_id, user_id AS session, event_type AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events",
