@@ -322,12 +322,21 @@ def uniqueness_best(spark, sf_dir):
     return rounded(best.select("id", (-F.col("x.neg")).alias("other"), "x.similarity"), "similarity")
 
 
-@query(f"""{S} SELECT memory_id, round(4e-1 * (CASE {commitment_sql('lower(content)', quoted('user'))} WHEN 'COMMITTED' THEN 1e0 WHEN 'OBSERVED' THEN 55e-2 WHEN 'HYPOTHETICAL' THEN 15e-2 WHEN 'QUESTION' THEN 1e-1 WHEN 'NEGATED' THEN 2e-1 WHEN 'QUOTED' THEN 5e-2 ELSE 3e-1 END)
- + 25e-2 * (CASE type WHEN 'decision' THEN 1e0 WHEN 'lesson' THEN 8e-1 WHEN 'open_loop' THEN 7e-1 WHEN 'preference' THEN 7e-1 ELSE 5e-1 END) + 2e-1 * (1e0 - confidence / 2) + 15e-2 * (CASE WHEN length(content) < 40 THEN 4e-1 WHEN length(content) <= 280 THEN 1e0 ELSE 6e-1 END) + (CASE WHEN contains(lower(content), 'redis') THEN 1e0 ELSE 0e0 END), 4) AS value FROM statements""")
+_BEST = f"""sets AS ({_STATEMENT_SETS}), best AS (SELECT n.id, max({jaccard('n.t', 'o.t')}) AS similarity FROM sets n JOIN sets o ON o.block = n.block AND o.id < n.id AND 10 * least(len(o.t), len(n.t)) >= 6 * greatest(len(o.t), len(n.t)) GROUP BY n.id HAVING similarity >= 0.6)"""
+
+
+def _best_earlier(spark, sf_dir):
+    """(id, similarity): how much a record resembles an earlier one of its type, where that is 0.6 or more."""
+    own = views.statements(spark, sf_dir).select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), text.tokens(F.col("content")).alias("tokens"))
+    return similarity.similar_sets(own, 0.6).groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("similarity"))
+
+
+@query(f"""{S}, {_BEST} SELECT memory_id, round(4e-1 * (CASE {commitment_sql('lower(content)', quoted('user'))} WHEN 'COMMITTED' THEN 1e0 WHEN 'OBSERVED' THEN 55e-2 WHEN 'HYPOTHETICAL' THEN 15e-2 WHEN 'QUESTION' THEN 1e-1 WHEN 'NEGATED' THEN 2e-1 WHEN 'QUOTED' THEN 5e-2 ELSE 3e-1 END)
+ + 25e-2 * (CASE type WHEN 'decision' THEN 1e0 WHEN 'lesson' THEN 8e-1 WHEN 'open_loop' THEN 7e-1 WHEN 'preference' THEN 7e-1 ELSE 5e-1 END) + 2e-1 * (CASE WHEN b.similarity IS NOT NULL THEN 1e-1 ELSE 1e0 END) + 15e-2 * (CASE WHEN length(content) < 40 THEN 4e-1 WHEN length(content) <= 280 THEN 1e0 ELSE 6e-1 END) + (CASE WHEN contains(lower(content), 'redis') THEN 1e0 ELSE 0e0 END), 4) AS value FROM statements LEFT JOIN best b ON b.id = store_ordinal""")
 def value_scores(spark, sf_dir):
-    s = views.statements(spark, sf_dir)
+    s = views.statements(spark, sf_dir).join(_best_earlier(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
     content = F.col("content")
-    return s.select("memory_id", scoring.value_score(text.commitment(content, F.lit("user")), F.col("type"), content, F.col("confidence") / 2, F.lower(content).contains("redis")).alias("value"))
+    return s.select("memory_id", scoring.value_score(text.commitment(content, F.lit("user")), F.col("type"), content, F.coalesce("similarity", F.lit(0.0)), F.lower(content).contains("redis")).alias("value"))
 
 
 @query(f"{M} SELECT memory_id, CASE WHEN octet_length(encode(content)) = 0 THEN 0 ELSE CAST(ceil(octet_length(encode(content)) / 3e0) AS BIGINT) + 1 END AS tokens FROM memories")
@@ -493,3 +502,6 @@ def state_resolve(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("project"), zero("items"), zero("open_items"), zero("blocked"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "BLOCKED").otherwise("DONE").alias("status"))
+
+
+from memlake.plans import upkeep  # noqa: E402,F401  registers its queries beside these
