@@ -29,8 +29,8 @@ REACH = 7
 #: Words of a passage at least; shorter repetitions (a stock phrase, a short line) stay.
 LEAST_PASSAGE = 20
 ROWS, TARGET = 2, 0.99
-#: Sets of a bucket that are verified together, on average.
-BLOCK = 256
+#: Buckets of so many sets at most are verified pair by pair in a join, larger ones in blocks of so many sets on average.
+SMALL, BLOCK = 16, 256
 LIST_ITEMS = 2_000_000
 SPACE = re.compile("[ \t\n]")
 Batches = Iterator[pa.RecordBatch]
@@ -163,8 +163,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def links_of(classes: DataFrame, own: DataFrame, bits: int, threshold: float, width: int) -> DataFrame:
     """(a, b): links between `classes` (id, bands) that connect all classes that share a band and reach the threshold.
 
-    In each bucket the classes first meet the least one. Buckets of which some do not resemble it are verified pair by pair, in blocks of
-    bounded size; a task keeps its pairs to itself and returns the edges of a spanning forest.
+    In each bucket the classes first meet the least one. Those that do not resemble it meet the others of a small bucket; large buckets
+    are verified in blocks of bounded size, where a task keeps its pairs to itself and returns the edges of a spanning forest.
     """
     dealt = classes.select("id", F.posexplode("bands").alias("k", "band")).repartition("k", "band")
     heads = dealt.groupBy("k", "band").agg(F.count("*").alias("members"), F.min("id").alias("head")).where("members > 1")
@@ -173,11 +173,15 @@ def links_of(classes: DataFrame, own: DataFrame, bits: int, threshold: float, wi
     sets = cut_table(shingle_sets(own, met.select("id").distinct(), bits, width))
     near = cut(verified(stars, sets, threshold))
     rest = met.where("members > 2 and id != head").join(near.select(F.col("a").alias("id"), F.col("b").alias("head"), F.lit(True).alias("linked")), ["id", "head"], "left").where("linked is null")
-    mixed_buckets = rest.select("k", "band").distinct()
+    rest = cut(rest.select("k", "band", "id", "members"))
+    others = met.where(f"members between 3 and {SMALL} and id != head").select("k", "band", F.col("id").alias("b"))
+    few = rest.where(f"members <= {SMALL}").join(others, ["k", "band"]).where("id != b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    mixed_buckets = rest.where(f"members > {SMALL}").select("k", "band").distinct()
     blocks = met.join(mixed_buckets, ["k", "band"], "left_semi").select("id", F.xxhash64("k", "band").alias("component"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
     placed = blocks.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = placed.join(sets, "id").select(F.col("id").alias("node"), "component", "blk", F.lit(1).cast("long").alias("copies"), "shingles", F.least("blk", "meets").alias("lo"), F.greatest("blk", "meets").alias("hi"))
-    return near.union(full.groupBy("component", "lo", "hi").applyInPandas(verify_blocks(threshold), "node long, links long, other long").select("node", "other"))
+    near = near.union(verified(few, sets, threshold))
+    return cut(near.union(full.groupBy("component", "lo", "hi").applyInPandas(verify_blocks(threshold), "node long, links long, other long").select("node", "other")))
 
 
 def clustered(own: DataFrame, bits: int, size: int, threshold: float, width: int, target: float) -> tuple[DataFrame, DataFrame]:

@@ -57,7 +57,9 @@ def rows():
     return [*out, None, "", " \n\t", out[3], out[3].upper(), *(" ".join([*plain, f"end{k}"]) for k in range(6)), "a b " * 300, "a b " * 300]
 
 
-def test_passages_are_brute_force(spark, rows):
+@pytest.mark.parametrize("small", [2, passages.SMALL])
+def test_passages_are_brute_force(spark, rows, small, monkeypatch):
+    monkeypatch.setattr(passages, "SMALL", small)
     df = spark.createDataFrame([(i, t, 5, 6, "p") for i, t in enumerate(rows)] + [(3, rows[3], 1, None, None)], DOCS).repartition(3)
     got = {(r["doc_id"], r["start_word"]): (r["kept_doc_id"], r["kept_start_word"]) for r in passages.repeated_passages(df, target_recall=0.999999).collect()}
     want = expected(rows)
