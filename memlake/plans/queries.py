@@ -70,7 +70,7 @@ def reason_sql(x: str) -> str:
 def commitment_sql(x: str, role: str) -> str:
     m = lambda p: rlike(x, p)
     return f"""CASE WHEN {m(text.QUOTE)} OR {m(text.QUOTE_WORD)} THEN 'QUOTED' WHEN contains({x}, '?') OR {m(text.QUESTION)} THEN 'QUESTION' WHEN {m(text.HYPOTHETICAL)} THEN 'HYPOTHETICAL'
- WHEN {role} IN ('assistant', 'tool', 'system') THEN 'PROPOSED' WHEN {m(text.CORRECTION)} AND NOT {m(text.DECISION)} THEN 'NEGATED' WHEN {m(text.DECISION)} THEN 'COMMITTED'
+ WHEN {role} IN ('assistant', 'tool', 'system') THEN 'PROPOSED' WHEN {m(text.CORRECTION)} AND NOT {m(text.DECISION)} THEN 'NEGATED' WHEN {m(text.DECISION)} OR {m(text.APPROVED_ACTION)} THEN 'COMMITTED'
  WHEN {m(text.CURRENT)} OR {m(text.RESOLVED)} OR {m(text.REQUIREMENT)} THEN 'OBSERVED' ELSE 'UNCERTAIN' END"""
 
 
@@ -504,4 +504,4 @@ def state_resolve(spark, sf_dir):
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("project"), zero("items"), zero("open_items"), zero("blocked"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "BLOCKED").otherwise("DONE").alias("status"))
 
 
-from memlake.plans import lifecycle, upkeep  # noqa: E402,F401  register their queries beside these
+from memlake.plans import lifecycle, reports, upkeep  # noqa: E402,F401  register their queries beside these
