@@ -57,24 +57,50 @@ def within_budget(ranked: DataFrame, budget: int, overhead: int = 4) -> DataFram
 def digest(records: DataFrame, k: int = 5, least: float = 0.6, group: int = 200) -> DataFrame:
     """(type, memory_id, rank): per type the best k records, none of which overlaps a better one's tokens by `least`.
 
-    Candidates are the `group` best of a type, found by a window that keeps no more than those; the greedy choice then runs per type.
+    A round looks at the `group` best of each type by a window that keeps no more than those. Types that are left with fewer than k
+    records go on with what lies behind and overlaps nothing chosen, round by round until they have k or are used up, so a type led by any
+    number of near copies is looked at whole. Only the chosen ids, k a type at most, reach the driver. Records without tokens overlap none.
     """
     score = F.round(scoring.rank_score(F.col("quality_score"), F.col("confidence")), 9)
     rated = records.select("type", "memory_id", score.alias("score"), "content")
     order = Window.partitionBy("type").orderBy(F.desc("score"), "memory_id")
-    best = rated.withColumn("r", F.row_number().over(order)).where(F.col("r") <= group).select("type", "memory_id", "r", tokens(F.col("content")).alias("tokens"))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("r")
         kept: list[tuple[str, set]] = []
-        for name, own in zip(*(frame.sort_values("r")[c] for c in ("memory_id", "tokens")), strict=True):
-            own = set(own)
+        for name, own in zip(frame["memory_id"], map(set, frame["tokens"]), strict=True):
             if all(not own or not s or len(own & s) / len(own | s) < least for _, s in kept):
                 kept.append((name, own))
             if len(kept) == k:
                 break
-        return pd.DataFrame({"type": frame["type"].iloc[0], "memory_id": [n for n, _ in kept], "rank": range(1, len(kept) + 1)})
-
-    return best.groupBy("type").applyInPandas(choose, "type string, memory_id string, rank int")
+        last = frame.iloc[-1]
+        return pd.DataFrame({"type": last["type"], "memory_id": [n for n, _ in kept], "last": last["memory_id"], "last_score": last["score"], "full": len(frame) == group})
+
+    chosen: dict[str | None, list[str]] = {}
+    left = rated
+    while True:
+        best = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= group).select("type", "memory_id", "score", "r", tokens(F.col("content")).alias("tokens"))
+        ends = {}
+        for row in best.groupBy("type").applyInPandas(choose, "type string, memory_id string, last string, last_score double, full boolean").collect():
+            own = chosen.setdefault(row["type"], [])
+            if len(own) < k:
+                own.append(row["memory_id"])
+            if row["full"]:
+                ends[row["type"]] = (row["last_score"], row["last"])
+        ends = {kind: end for kind, end in ends.items() if len(chosen[kind]) < k}
+        if not ends:
+            break
+        behind = F.lit(False)
+        for kind, (end, name) in ends.items():
+            after = (F.col("score") < end) | F.col("score").isNull() | ((F.col("score") == end) & (F.col("memory_id") > name))
+            behind = behind | (F.col("type").eqNullSafe(kind) & (after if end is not None and end == end else F.col("score").isNull() & (F.col("memory_id") > name)))
+        ids = [name for kind in ends for name in chosen[kind]]
+        near = rated.where(F.col("memory_id").isin(ids)).select(F.col("type").alias("near_type"), tokens(F.col("content")).alias("near"))
+        x = tokens(F.col("content"))
+        overlap = F.size(F.array_intersect(x, "near")) >= least * F.size(F.array_union(x, "near"))
+        left = rated.where(behind).join(F.broadcast(near), F.col("type").eqNullSafe(F.col("near_type")) & (F.size("near") > 0) & (F.size(x) > 0) & overlap, "left_anti")
+    found = [(kind, name, place) for kind, own in chosen.items() for place, name in enumerate(own, 1)]
+    return records.sparkSession.createDataFrame(found, "type string, memory_id string, rank int")
 
 
 def recall_probe(records: DataFrame, questions: list[tuple[str, list[list[str]]]]) -> DataFrame:

@@ -71,17 +71,10 @@ CHAT_INTENTS = {
     "CREATE": r"^(remember|note that|remember to)\b",
     "ANALYZE": r"(analyze|deep dive|why did|how did|explain)",
 }
-#: Where a turn is split, the fillers of dictation, pasted output of tools, and the approval of an action.
+#: Where a turn is split, and the fillers of dictation.
 SEGMENT_ENDS = r"(?i)(?<=[.!?。！？])\s+|\s*;\s*|\s+(?:ama|fakat|ancak|but|however)\s+"
 LEADING_FILLER = r"^(?:(?:[Ee],|[Ee]e+[,.]?|ıı+[,.]?|[Hh]mm+[,.]?)\s+)+"
 INNER_FILLER = r"(?<=[\p{L}\p{N}_]) e,(?= )| (?:ee+|ıı+|hmm+)[,.]?(?= )"
-PASTED_OUTPUT = (
-    r"(?m)\btool exec result\b|\bWall time \d|\[graphify\b|\\r\\n|>>> [A-Z]{3,}"
-    r"|^(?:\s*\d{1,5}:[ \t][^\n]*\n){2}\s*\d{1,5}:[ \t]|^diff --git |^@@|^(?:\+\+\+|---) [ab]/|^PS [A-Za-z]:\\|^[A-Za-z]:\\[^\n]*> "
-    r"|^={4,}\s.*\s={4,}$|[\w./\\-]+\.(?:md|py|ps1|json|jsonl|ya?ml|toml|txt|log):\d+[:-]"
-    r"|^(?:Mode\s+Length|On branch |Your branch |Fast-forward$|Updating [0-9a-f]{7,}\.\.)"
-    r"|\"(?:chunk_id|exit_code|wall_time_seconds|original_token_count)\""
-)
 #: The confidence that a commitment, a role and the other signals stand for, and why a segment is set aside.
 COMMITMENT_SIGNAL = {"COMMITTED": 0.92, "OBSERVED": 0.68, "NEGATED": 0.35, "PROPOSED": 0.20, "HYPOTHETICAL": 0.18, "QUESTION": 0.12, "QUOTED": 0.12, "UNCERTAIN": 0.25}
 AUTHORITY = {"user": 1.0, "summary": 0.7, "subagent": 0.5}
@@ -217,7 +210,7 @@ def candidates(turns: DataFrame) -> DataFrame:
         + F.when(F.col("decides") | told, 0.90).otherwise(0.55) * 0.20 + F.col("project_id").isNotNull().cast("double") * 0.15
         + F.when(F.col("at_s").isNotNull(), 0.80).otherwise(0.55) * 0.10 + F.when(F.col("corrects"), 0.30).otherwise(0.85) * 0.05, PLACES,
     )
-    aside = F.when(x.rlike(PASTED_OUTPUT), "PASTED_OUTPUT").when(F.col("pasted"), "USER_PASTED_DOCUMENT").when(F.col("unsafe") != "", F.col("unsafe")).when(F.col("project_id").isNull(), "SCOPE_UNRESOLVED").otherwise(chosen(F.col("commitment"), SET_ASIDE, ""))
+    aside = F.when(x.rlike(text.PASTED_OUTPUT), "PASTED_OUTPUT").when(F.col("pasted"), "USER_PASTED_DOCUMENT").when(F.col("unsafe") != "", F.col("unsafe")).when(F.col("project_id").isNull(), "SCOPE_UNRESOLVED").otherwise(chosen(F.col("commitment"), SET_ASIDE, ""))
     judged = judged.withColumns({"weight": confidence, "unsafe": capture_reason(x), "state": text.state_operation(x)}).withColumn("aside", aside)
     kind = F.when(F.col("aside") != "", "QUARANTINE").when(F.col("state").isNotNull(), "STATE_MUTATION").when((F.col("role") == "user") & (F.col("commitment") != "COMMITTED"), "QUARANTINE").otherwise("NEW_MEMORY")
     judged = judged.withColumn("main", kind)

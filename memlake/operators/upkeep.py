@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.text import any_word, capture_reason, content_shape, fingerprint, normalized
+from memlake.functions.text import PASTED_OUTPUT, any_word, capture_reason, content_shape, fingerprint, normalized
 
 #: The forms of file names in notes, of claim keys, of headings, of notes on a passing state and of machine content.
 PATH = r"(?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+\.(?:py|md|json|jsonl|toml|js|ts|tsx|css|html|yml|yaml|sh|ps1|txt|cfg|ini)\b"
@@ -138,7 +138,8 @@ def rule_verdict(content: Column, commitment: Column, is_state: Column, similari
     """Why the rules reject a candidate, '' if they leave it to a reader. They never accept."""
     x = F.trim(content)
     return (
-        F.when(x.rlike(MACHINE), "MACHINE_CONTENT")
+        F.when(x.rlike(PASTED_OUTPUT), "PASTED_OUTPUT")
+        .when(x.rlike(MACHINE), "MACHINE_CONTENT")
         .when(F.length(x) > LONG, "TOO_LONG")
         .when(F.length(x) < SHORT, "TOO_SHORT")
         .when(commitment == "QUESTION", "QUESTION")

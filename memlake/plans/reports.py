@@ -154,7 +154,7 @@ _CANDIDATES = f"""{E}, {sql_view("turns", SPEAKING, f"(SELECT * REPLACE ({REMARK
  owned AS (SELECT *, approver IS NOT NULL AND said = 'PROPOSED' AND as_user = 'COMMITTED' AS confirmed, CASE WHEN approver IS NOT NULL AND said = 'PROPOSED' AND as_user = 'COMMITTED' THEN 'COMMITTED' ELSE said END AS commitment FROM judged),
  weighed AS (SELECT *, round({by_value("commitment", tasks.COMMITMENT_SIGNAL, "25e-2")} * 3e-1 + CASE WHEN confirmed THEN 1e0 ELSE {by_value("role", tasks.AUTHORITY, "25e-2")} END * 2e-1 + CASE WHEN {_TOLD} THEN 9e-1 ELSE 55e-2 END * 2e-1
    + CASE WHEN project_id IS NULL THEN 0e0 ELSE 1e0 END * 15e-2 + CASE WHEN at_s IS NULL THEN 55e-2 ELSE 8e-1 END * 1e-1 + CASE WHEN corrects THEN 3e-1 ELSE 85e-2 END * 5e-2, 4) AS weight,
-  CASE WHEN {rlike("content", tasks.PASTED_OUTPUT)} THEN 'PASTED_OUTPUT' WHEN pasted THEN 'USER_PASTED_DOCUMENT' WHEN unsafe <> '' THEN unsafe WHEN project_id IS NULL THEN 'SCOPE_UNRESOLVED' ELSE {by_value("commitment", tasks.SET_ASIDE, "''")} END AS aside FROM owned),
+  CASE WHEN {rlike("content", text.PASTED_OUTPUT)} THEN 'PASTED_OUTPUT' WHEN pasted THEN 'USER_PASTED_DOCUMENT' WHEN unsafe <> '' THEN unsafe WHEN project_id IS NULL THEN 'SCOPE_UNRESOLVED' ELSE {by_value("commitment", tasks.SET_ASIDE, "''")} END AS aside FROM owned),
  sorted AS (SELECT *, CASE WHEN aside <> '' THEN 'QUARANTINE' WHEN state IS NOT NULL THEN 'STATE_MUTATION' WHEN role = 'user' AND commitment <> 'COMMITTED' THEN 'QUARANTINE' ELSE 'NEW_MEMORY' END AS main FROM weighed),
  every AS (SELECT *, main AS kind, CASE WHEN aside <> '' THEN aside WHEN main = 'QUARANTINE' THEN 'USER_NOT_DECISION' ELSE '' END AS reason FROM sorted
   UNION ALL SELECT *, 'QUARANTINE', 'LIFECYCLE_TARGET_UNKNOWN' FROM sorted WHERE aside = '' AND corrects AND decides)"""

@@ -162,7 +162,7 @@ def triage_counts(spark, sf_dir):
     return _ruled(spark, sf_dir).where("rule != ''").groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(f"""{ITEMS}, {_BEST} SELECT memory_id, CASE WHEN {rlike('trim(content)', upkeep.MACHINE)} THEN 'MACHINE_CONTENT' WHEN length(trim(content)) > 600 THEN 'TOO_LONG' WHEN length(trim(content)) < 20 THEN 'TOO_SHORT' WHEN commitment = 'QUESTION' THEN 'QUESTION'
+@query(f"""{ITEMS}, {_BEST} SELECT memory_id, CASE WHEN {rlike('trim(content)', text.PASTED_OUTPUT)} THEN 'PASTED_OUTPUT' WHEN {rlike('trim(content)', upkeep.MACHINE)} THEN 'MACHINE_CONTENT' WHEN length(trim(content)) > 600 THEN 'TOO_LONG' WHEN length(trim(content)) < 20 THEN 'TOO_SHORT' WHEN commitment = 'QUESTION' THEN 'QUESTION'
  WHEN is_state AND commitment <> 'COMMITTED' THEN 'STATE_NOT_COMMITTED' WHEN b.similarity >= 0.6 THEN 'DUPLICATE' ELSE '' END AS verdict FROM items LEFT JOIN best b ON b.id = store_ordinal""")
 def rule_verdicts(spark, sf_dir):
     met = _items(spark, sf_dir).join(_best_earlier(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
