@@ -480,7 +480,13 @@ def budget_prefix(spark, sf_dir):
     return selection.within_budget(_bootstrap(spark, sf_dir), 400)
 
 
-@query()
+_RATED = f"""rated AS (SELECT type, memory_id, {TOKENS % 'content'} AS t, row_number() OVER (PARTITION BY type ORDER BY round(quality_score * 6e-1 + confidence * 4e-1, 9) DESC, memory_id) AS r FROM memories),
+ p1 AS (SELECT type, memory_id, r, [t] AS picked FROM rated WHERE r = 1)"""
+_NEAR = "list_filter(picked, lambda s: len(s) > 0 AND len(t) > 0 AND CAST(len(list_intersect(s, t)) AS DOUBLE) / (len(s) + len(t) - len(list_intersect(s, t))) >= 6e-1)"
+_PICKS = ", ".join(f"p{k + 1} AS (SELECT type, rated.memory_id, rated.r, list_append(picked, t) AS picked FROM rated JOIN p{k} USING (type) WHERE rated.r > p{k}.r AND len({_NEAR}) = 0 QUALIFY row_number() OVER (PARTITION BY type ORDER BY rated.r) = 1)" for k in range(1, 5))
+
+
+@query(f"{M}, {_RATED}, {_PICKS} " + " UNION ALL ".join(f"SELECT type, memory_id, {k} AS rank FROM p{k}" for k in range(1, 6)))
 def digest_by_type(spark, sf_dir):
     return selection.digest(views.memories(spark, sf_dir))
 
