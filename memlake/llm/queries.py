@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, lm, media, minhash, packing, passages, pii, quality, secrets
+from . import decontaminate, linededup, lm, media, minhash, packing, passages, phrases, pii, quality, secrets, urls, whitening
 from .common import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.junk_sites(pages))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,8 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_secret_scans, op4_best_fit_packing, op5_media_columns, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_lm_scoring, op10_ngram_jaccard_join, op11_embedding_whitening, op12_url_filters, op13_phrase_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE, "op2_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op2_benchmark_decontamination": decontaminate.ORACLE, "op12_url_filters": urls.ORACLE, "op13_phrase_collocations": phrases.ORACLE}
