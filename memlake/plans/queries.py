@@ -500,14 +500,14 @@ def recall_probe(spark, sf_dir):
     return selection.recall_probe(views.statements(spark, sf_dir), QUESTIONS)
 
 
-# --- State (orders as projects, their lines as work items) --------------------------------------------------------------------------
+# --- Progress of orders by their lines --------------------------------------------------------------------------
 @query("""SELECT o.o_orderkey AS project, count(l.l_orderkey) AS items, count(*) FILTER (l.l_linestatus = 'O') AS open_items, count(*) FILTER (l.l_returnflag = 'R') AS blocked, CASE o.o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'P' THEN 'BLOCKED' ELSE 'DONE' END AS status
 FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderstatus""")
-def state_resolve(spark, sf_dir):
+def order_progress(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.count_if(F.col("l_linestatus") == "O").alias("open_items"), F.count_if(F.col("l_returnflag") == "R").alias("blocked"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("project"), zero("items"), zero("open_items"), zero("blocked"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "BLOCKED").otherwise("DONE").alias("status"))
 
 
-from memlake.plans import lifecycle, reports, upkeep  # noqa: E402,F401  register their queries beside these
+from memlake.plans import lifecycle, reports, state, upkeep  # noqa: E402,F401  register their queries beside these
