@@ -19,8 +19,9 @@ def chain_ends(pointers: DataFrame) -> DataFrame:
     own = known.join(there, F.col("next") == F.col("ahead"), "left")
     now = cut(own.select("id", F.when(F.col("there"), 1).otherwise(0).cast("long").alias("hops"), F.when(F.col("there"), F.col("next")).otherwise(F.col("id")).alias("last"), F.coalesce("there", F.lit(False)).alias("open")))
     left, rounds = now.where("open").count(), 0
-    # after k rounds an open row has seen 2^k rows; more than there are is a cycle
-    while left and 2**rounds <= left:
+    most = left
+    # after k rounds an open row has seen 2^k rows; one that has seen more than there are is in a cycle or runs into one
+    while left and 2**rounds <= most:
         far = now.select(F.col("id").alias("last"), F.col("hops").alias("more"), F.col("last").alias("further"), F.col("open").alias("still"))
         met = now.where("open").join(far, "last").select("id", (F.col("hops") + F.col("more")).alias("hops"), F.col("further").alias("last"), F.col("still").alias("open"))
         now = cut(now.where("not open").unionByName(met))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring
-from memlake.functions.text import capture_reason, fingerprint, has_term, tokens
+from memlake.functions.text import capture_reason, fingerprint, tokens
+from memlake.lineage import cut
 
+from .paths import chain_ends
 from .similarity import copies_of, similar_sets, token_sets
 
 DUPLICATE_FROM = 0.6
@@ -31,21 +33,16 @@ def dedupe_plan(records: DataFrame) -> DataFrame:
     return live.join(first, "fingerprint").where("memory_id != survivor").select("memory_id", "survivor")
 
 
-def supersession_chains(records: DataFrame, depth: int = 4) -> DataFrame:
-    """(memory_id, hops, last, unfinished): where superseded_by leads from each record that has one, over `depth` steps at most; a chain
-    that is longer, or a cycle, is unfinished. Each step is one equi-join on ids."""
-    to = records.select(F.col("memory_id").alias("id"), F.col("superseded_by").alias("next"))
-    now = records.where("superseded_by != ''").select("memory_id", F.lit(0).alias("hops"), F.col("memory_id").alias("last"), F.col("superseded_by").alias("ahead"))
-    for _ in range(depth):
-        met = now.join(to, F.col("ahead") == F.col("id"), "left")
-        found = F.col("id").isNotNull()
-        now = met.select("memory_id", (F.col("hops") + F.when(found, 1).otherwise(0)).alias("hops"), F.coalesce("id", "last").alias("last"), F.when(found, F.nullif(F.col("next"), F.lit(""))).alias("ahead"))
-    return now.select("memory_id", "hops", "last", F.col("ahead").isNotNull().alias("unfinished"))
+def supersession_chains(records: DataFrame) -> DataFrame:
+    """(memory_id, hops, last, unfinished): where superseded_by leads from each record that has one, to the chain's end. A chain that runs
+    into a cycle is unfinished, without hops and last."""
+    ends = chain_ends(records.select(F.col("memory_id").alias("id"), F.col("superseded_by").alias("next")))
+    return records.where("superseded_by != ''").select(F.col("memory_id").alias("id")).join(ends, "id").select(F.col("id").alias("memory_id"), "hops", "last", "unfinished")
 
 
 def duplicate_content(records: DataFrame, least: float = DUPLICATE_FROM) -> DataFrame:
     """(a, b, similarity) among active records of a type: pairs of different token sets, each by its first record, and every copy with the first."""
-    live = records.where(F.col("status") == "active").select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), tokens(F.col("content")).alias("tokens"))
+    live = cut(records.where(F.col("status") == "active").select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), tokens(F.col("content")).alias("tokens")))
     copies = copies_of(live).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return similar_sets(token_sets(live), least).union(copies)
 
@@ -96,13 +93,19 @@ def contradictions(decisions: DataFrame, against: DataFrame, terms: int) -> Data
     Sides are counted per scope, project and pair before they meet, so the result has a row per decision and never one per pair.
     """
 
+    pairs = CONTRADICTIONS[:terms]
+    words = sorted({w for pair in pairs for w in pair}, key=len, reverse=True)
+    # at each place where a word begins, the longest term that stands there: one pass finds all terms, also those within others
+    standing = rf"(?<![a-z0-9_'])(?=({'|'.join(words)})(?![a-z0-9_']))"
+    meaning = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("term"), F.lit(side).alias("side")) for k, pair in enumerate(pairs) for side, v in enumerate(pair) if v == w]))])
+
     def sides(df: DataFrame) -> DataFrame:
-        low = F.lower(F.col("content"))
-        held = [F.struct(F.lit(k).alias("term"), F.lit(side).alias("side"), has_term(low, word).alias("has")) for k, pair in enumerate(CONTRADICTIONS[:terms]) for side, word in enumerate(pair)]
-        return df.select("id", "scope", "project_id", F.explode(F.filter(F.array(*held), lambda x: x["has"])).alias("x")).select("id", "scope", "project_id", "x.term", "x.side")
+        found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("content")), F.lit(standing), F.lit(1)))
+        each = df.select("id", "scope", "project_id", F.explode_outer(found).alias("word")).where("word is not null")
+        return cut(each.select("id", "scope", "project_id", F.explode(F.element_at(meaning, F.col("word"))).alias("x")).select("id", "scope", "project_id", "x.term", "x.side").distinct())
 
     own, key = sides(decisions), ["scope", "project_id", "term", "side"]
-    facing = sides(against).withColumn("side", 1 - F.col("side"))
+    facing = (own if against is decisions else sides(against)).withColumn("side", 1 - F.col("side"))
     firsts = facing.groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("first"))
     seconds = facing.join(firsts, key).where("id != first").groupBy(*key).agg(F.min("id").alias("second"))
     # A decision that holds both sides of a pair does not stand against itself.

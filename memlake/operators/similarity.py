@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.lineage import cut
+
 
 def token_sets(records: DataFrame) -> DataFrame:
     """`records` (id, block, tokens sorted and distinct) as distinct sets: block, key, id (the first's), copies, tokens. Empty sets are left out."""
@@ -33,7 +35,8 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
 
     A pair shares one of the rarest tokens of both, so only those meet, and only if their sizes allow the similarity. Ids are unique.
     """
-    p = _prefixes(sets, least)
+    sets = cut(sets)
+    p = cut(_prefixes(sets, least))
     a, b = p.select("block", "token", F.col("id").alias("a"), F.col("n").alias("na")), p.select("block", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
     met = a.join(b, ["block", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))

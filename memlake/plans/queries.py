@@ -187,8 +187,9 @@ def review_primary(spark, sf_dir):
 
 
 @query(f"""{M}, chain AS (SELECT memory_id, 0 AS hops, memory_id AS last, superseded_by AS ahead FROM memories WHERE superseded_by <> '' UNION ALL
- SELECT c.memory_id, c.hops + 1, m.memory_id, m.superseded_by FROM chain c JOIN memories m ON c.ahead = m.memory_id WHERE c.hops < 4)
-SELECT memory_id, max(hops) AS hops, arg_max(last, hops) AS last, false AS unfinished FROM chain GROUP BY memory_id""")
+ SELECT c.memory_id, c.hops + 1, m.memory_id, m.superseded_by FROM chain c JOIN memories m ON c.ahead = m.memory_id WHERE c.hops < 2000),
+ ends AS (SELECT memory_id, hops, last FROM chain c WHERE ahead = '' OR NOT EXISTS (FROM memories m WHERE m.memory_id = c.ahead))
+SELECT m.memory_id, CAST(e.hops AS BIGINT) AS hops, e.last, e.memory_id IS NULL AS unfinished FROM memories m LEFT JOIN ends e USING (memory_id) WHERE m.superseded_by <> ''""")
 def supersession_chain(spark, sf_dir):
     return records.supersession_chains(views.memories(spark, sf_dir))
 
