@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.text import jaccard
 from memlake.lineage import cut
 
 
@@ -45,16 +46,52 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
-    """(id, other, similarity): for each of `left` (id, block, tokens) the most similar of `right` in its block, the least id of the best.
+def best_earlier(records: DataFrame, least: float) -> DataFrame:
+    """(id, other, similarity): of the earlier rows of its block (id, block, tokens) that resemble a row by more than `least`, the most
+    similar, the least id of equals. Pairs are between distinct sets; a copy takes its set's earliest row for 1."""
+    sets = cut(token_sets(records))
+    pairs = similar_sets(sets.select("block", "id", "tokens"), least)
+    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).where(F.col("similarity") > least)
+    first = records.where(F.size("tokens") > 0).select("id", "block", F.sha2(F.array_join("tokens", " "), 256).alias("key")).join(sets.select("block", "key", F.col("id").alias("first")), ["block", "key"])
+    copies = first.where("id != first").select("id", F.col("first").alias("other"), F.lit(1.0).alias("similarity"))
+    # a set's earliest row stands for it: an earlier row of another set exists if that set's earliest is earlier
+    near = first.join(both.withColumnRenamed("a", "first"), "first").where("b < id").select("id", F.col("b").alias("other"), "similarity")
+    best = copies.unionByName(near).groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("neg"))).alias("x"))
+    return best.select("id", (-F.col("x.neg")).alias("other"), "x.similarity")
 
-    Sets meet on the tokens they share; sizes come along, so the overlap is a count and no set is joined back.
-    """
-    l, r = (x.select("block", F.col("id").alias(i), F.size("tokens").alias(n), F.explode("tokens").alias("token")) for x, i, n in ((left, "id", "n"), (right, "other", "m")))
-    shared = l.join(r, ["block", "token"]).groupBy("id", "other").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
-    rated = shared.select("id", "other", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
-    return rated.groupBy("id").agg(F.max(F.struct("similarity", _descending("other"))).alias("x")).select("id", (-F.col("x.neg")).alias("other"), "x.similarity")
+
+def _ranked(sets: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """(block, token, name, n, p): the tokens of each set with their place from the rarest on."""
+    each = sets.select("block", F.col("key").alias(name), F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(counts, ["block", "token"])
+    return each.withColumn("p", F.row_number().over(Window.partitionBy("block", name).orderBy("f", "token"))).drop("f")
 
 
-def _descending(c: str) -> Column:
-    return (-F.col(c)).alias("neg")
+def best_overlap(items: DataFrame, pool: DataFrame, steps: tuple[float, ...] = (0.6, 0.2, 0.0)) -> DataFrame:
+    """(id, similarity): the highest Jaccard similarity of each of `items` (id, block, tokens) with another row of `pool` (the same columns)
+    in its block, however low; 0 where nothing is shared. A row that is in both does not count for itself.
+
+    Distinct sets are compared, not rows. Similar sets share one of their rarest tokens, and the lower the similarity, the more of them
+    must be looked at; so the steps go down, and a set that has found a partner at a step's similarity takes no part in the next.
+    """
+    key = F.sha2(F.array_join("tokens", " "), 256)
+    rows = cut(items.select("id", "block", "tokens", key.alias("key")))
+    stored = pool.where(F.size("tokens") > 0).select("id", "block", "tokens", key.alias("key"))
+    right = cut(stored.groupBy("block", "key").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens")))
+    left = rows.where(F.size("tokens") > 0).groupBy("block", "key").agg(F.first("tokens").alias("tokens"))
+    each = left.select("block", "key", "tokens").union(right.select("block", "key", "tokens")).select("block", F.explode("tokens").alias("token"))
+    counts = cut(each.groupBy("block", "token").agg(F.count("*").alias("f")))
+    l, r = cut(_ranked(left, counts, "a")), cut(_ranked(right, counts, "b"))
+    tokens = left.select("block", F.col("key").alias("a"), F.col("tokens").alias("x")), right.select("block", F.col("key").alias("b"), F.col("tokens").alias("y"))
+    best = None
+    for least in steps:
+        prefix = F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+        open_ = l if best is None else l.join(best.select("block", "a"), ["block", "a"], "left_anti")
+        met = open_.where(prefix).select("block", "token", "a", F.col("n").alias("na")).join(r.where(prefix).select("block", "token", "b", F.col("n").alias("nb")), ["block", "token"])
+        met = met.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("block", "a", "b").distinct()
+        rated = met.join(tokens[0], ["block", "a"]).join(tokens[1], ["block", "b"]).select("block", "a", jaccard(F.col("x"), F.col("y")).alias("similarity"))
+        found = cut(rated.where(F.col("similarity") >= least).groupBy("block", "a").agg(F.max("similarity").alias("similarity")))
+        best = found if best is None else best.unionByName(found)
+    own = rows.join(right.select("block", "key", "copies"), ["block", "key"], "left").join(stored.select("id", F.lit(1).alias("own")), "id", "left")
+    same = F.coalesce(F.col("copies") - F.coalesce("own", F.lit(0)), F.lit(0)) > 0
+    met = own.join(best.withColumnRenamed("a", "key"), ["block", "key"], "left")
+    return met.select("id", F.when(same, 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"))

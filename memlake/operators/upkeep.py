@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.functions.text import PASTED_OUTPUT, any_word, capture_reason, content_shape, fingerprint, normalized
 
 #: The forms of file names in notes, of claim keys, of headings, of notes on a passing state and of machine content.
-PATH = r"(?:[A-Za-z0-9_.-]+/)*[A-Za-z0-9_.-]+\.(?:py|md|json|jsonl|toml|js|ts|tsx|css|html|yml|yaml|sh|ps1|txt|cfg|ini)\b"
+PATH = r"(?<![\p{L}\p{N}_/.-])((?:[\p{L}\p{N}_.-]+/)*[\p{L}\p{N}_.-]+\.(?:py|md|json|jsonl|toml|js|ts|tsx|css|html|yml|yaml|sh|ps1|txt|cfg|ini))(?![\p{L}\p{N}_])"
 CLAIM_KEY = r"^[a-z0-9][a-z0-9_-]*(?:[.:][a-z0-9][a-z0-9_-]*)+$"
 HEADING = r"^\s*(?:#{1,6}\s|\d{1,2}[.)]\s|[-*•]\s|[A-Z][A-Z0-9]{3,}-\d+\b)"
 STATUS_NOTE = any_word("currently", "right now", "still", "in progress", "for now", "şu an(da)?", "hâlâ", "halen", "devam ediyor", "bekleniyor")
@@ -93,7 +93,7 @@ def provenance_split(records: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def referenced_paths(content: Column) -> Column:
     """The different file names in a text, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(PATH), F.lit(0)), lambda p: F.regexp_replace(p, r"^[./]+|[./]+$", ""))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(PATH), F.lit(1)), lambda p: F.regexp_replace(p, r"^[./]+|[./]+$", ""))))
 
 
 def stale_records(records: DataFrame, files: DataFrame, acknowledged: DataFrame) -> DataFrame:

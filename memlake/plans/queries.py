@@ -318,24 +318,26 @@ _STATEMENT_SETS = f"SELECT store_ordinal AS id, type AS block, {TOKENS % 'conten
 SELECT id, other, round(similarity, 6) AS similarity FROM best WHERE similarity > 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) = 1""")
 def uniqueness_best(spark, sf_dir):
     own = views.statements(spark, sf_dir).select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), text.tokens(F.col("content")).alias("tokens"))
-    pairs = similarity.similar_sets(own, 0.85).where("similarity > 0.85")
-    best = pairs.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("similarity", (-F.col("a")).alias("neg"))).alias("x"))
-    return rounded(best.select("id", (-F.col("x.neg")).alias("other"), "x.similarity"), "similarity")
+    return rounded(similarity.best_earlier(own, 0.85), "similarity")
 
 
-_BEST = f"""sets AS ({_STATEMENT_SETS}), best AS (SELECT n.id, max({jaccard('n.t', 'o.t')}) AS similarity FROM sets n JOIN sets o ON o.block = n.block AND o.id < n.id AND 10 * least(len(o.t), len(n.t)) >= 6 * greatest(len(o.t), len(n.t)) GROUP BY n.id HAVING similarity >= 0.6)"""
+#: Stems as the contract has them: dotted and dotless i folded, lower case, words of three letters and more, cut to five.
+_BEST = r"""stemmed AS (SELECT store_ordinal AS id, coalesce(project_id, '') AS block, status, list_sort(list_distinct(list_transform(regexp_extract_all(lower(translate(content, 'Iİ', 'ıi')), '[\p{L}\p{N}_]{3,}'), lambda w: substr(w, 1, 5)))) AS t FROM statements),
+ best AS (SELECT n.id, round(coalesce(max(CASE WHEN len(n.t) + len(o.t) = 0 THEN 0 ELSE CAST(len(list_intersect(n.t, o.t)) AS DOUBLE) / (len(n.t) + len(o.t) - len(list_intersect(n.t, o.t))) END), 0), 2) AS similarity
+  FROM stemmed n LEFT JOIN stemmed o ON o.block = n.block AND o.id <> n.id AND o.status = 'active' GROUP BY n.id)"""
 
 
-def _best_earlier(spark, sf_dir):
-    """(id, similarity): how much a record resembles an earlier one of its type, where that is 0.6 or more."""
-    own = views.statements(spark, sf_dir).select(F.col("store_ordinal").alias("id"), F.col("type").alias("block"), text.tokens(F.col("content")).alias("tokens"))
-    return similarity.similar_sets(own, 0.6).groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("similarity"))
+def _best_similar(spark, sf_dir):
+    """(id, similarity): how much a statement resembles another active one of its project at most, by stems, to two places."""
+    own = views.statements(spark, sf_dir).select(F.col("store_ordinal").alias("id"), F.coalesce("project_id", F.lit("")).alias("block"), text.stems(F.col("content")).alias("tokens"), "status")
+    best = similarity.best_overlap(own.drop("status"), own.where("status = 'active'").drop("status"))
+    return best.select("id", F.round("similarity", 2).alias("similarity"))
 
 
 @query(f"""{S}, {_BEST} SELECT memory_id, round(4e-1 * (CASE {commitment_sql('lower(content)', quoted('user'))} WHEN 'COMMITTED' THEN 1e0 WHEN 'OBSERVED' THEN 55e-2 WHEN 'HYPOTHETICAL' THEN 15e-2 WHEN 'QUESTION' THEN 1e-1 WHEN 'NEGATED' THEN 2e-1 WHEN 'QUOTED' THEN 5e-2 ELSE 3e-1 END)
- + 25e-2 * (CASE type WHEN 'decision' THEN 1e0 WHEN 'lesson' THEN 8e-1 WHEN 'open_loop' THEN 7e-1 WHEN 'preference' THEN 7e-1 ELSE 5e-1 END) + 2e-1 * (CASE WHEN b.similarity IS NOT NULL THEN 1e-1 ELSE 1e0 END) + 15e-2 * (CASE WHEN length(content) < 40 THEN 4e-1 WHEN length(content) <= 280 THEN 1e0 ELSE 6e-1 END) + (CASE WHEN contains(lower(content), 'redis') THEN 1e0 ELSE 0e0 END), 4) AS value FROM statements LEFT JOIN best b ON b.id = store_ordinal""")
+ + 25e-2 * (CASE type WHEN 'decision' THEN 1e0 WHEN 'lesson' THEN 8e-1 WHEN 'open_loop' THEN 7e-1 WHEN 'preference' THEN 7e-1 ELSE 5e-1 END) + 2e-1 * (CASE WHEN b.similarity >= 6e-1 THEN 1e-1 ELSE 1e0 - b.similarity END) + 15e-2 * (CASE WHEN length(content) < 40 THEN 4e-1 WHEN length(content) <= 280 THEN 1e0 ELSE 6e-1 END) + (CASE WHEN contains(lower(content), 'redis') THEN 1e0 ELSE 0e0 END), 4) AS value FROM statements LEFT JOIN best b ON b.id = store_ordinal""")
 def value_scores(spark, sf_dir):
-    s = views.statements(spark, sf_dir).join(_best_earlier(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
+    s = views.statements(spark, sf_dir).join(_best_similar(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
     content = F.col("content")
     return s.select("memory_id", scoring.value_score(text.commitment(content, F.lit("user")), F.col("type"), content, F.coalesce("similarity", F.lit(0.0)), F.lower(content).contains("redis")).alias("value"))
 

@@ -9,7 +9,7 @@ from memlake.operators import upkeep
 from memlake.sources import views
 from memlake.sources.views import AS_OF
 
-from .queries import _BEST, _SHAPE, FINGERPRINT, NORMAL, QUESTIONS, D, E, L, M, S, _best_earlier, _holds, commitment_sql, query, quoted, reason_sql, rlike
+from .queries import _BEST, _SHAPE, FINGERPRINT, NORMAL, QUESTIONS, D, E, L, M, S, _best_similar, _holds, commitment_sql, query, quoted, reason_sql, rlike
 
 DAY = 86400
 #: What the tables lack is derived from the place in the store, alike in Spark and in SQL.
@@ -105,22 +105,32 @@ def provenance_split(spark, sf_dir):
     return upkeep.provenance_split(s.select("status", "source", "source_id"), s.where("review_status = 'ACCEPTED'").select("candidate_id", "reason"))
 
 
-_PATHS = rf"list_sort(list_distinct(list_transform(regexp_extract_all(content, {quoted(upkeep.PATH)}), lambda p: regexp_replace(p, '^[./]+|[./]+$', '', 'g'))))"
+#: Texts that name files in every way the pattern tells apart, before the statements' own words.
+NAMES = ("", "see /etc/app.py and https://x.org/a.py", "notlar/özet.md, then ./docs/plan.md.", "src/app.py2 but a-b/c_d.test.js", "(docs/plan.md)", "x..md .md ../up.txt", "önce src/app.py")
+_NAMES = "[" + ", ".join(map(quoted, NAMES)) + "]"
+_NAMING = f"{S}, naming AS (SELECT * REPLACE ({_NAMES}[CAST(store_ordinal % {len(NAMES)} AS INTEGER) + 1] || ' ' || content AS content) FROM statements)"
+# RE2 has no look-behind: names are taken with the character before them, which must not be one of a name, where they begin
+_PATHS = r"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '[\p{L}\p{N}_./-]*[\p{L}\p{N}_./-]'), lambda p: NOT starts_with(p, '/') AND regexp_matches(p, '^(?:[\p{L}\p{N}_.-]+/)*[\p{L}\p{N}_.-]+\.(?:py|md|json|jsonl|toml|js|ts|tsx|css|html|yml|yaml|sh|ps1|txt|cfg|ini)(?:[./-]|$)')), lambda p: trim(regexp_extract(p, '^((?:[\p{L}\p{N}_.-]+/)*[\p{L}\p{N}_.-]+\.(?:py|md|json|jsonl|toml|js|ts|tsx|css|html|yml|yaml|sh|ps1|txt|cfg|ini))(?:[./-]|$)', 1), './'))))"
 
 
-@query(f"{S} SELECT memory_id, array_to_string({_PATHS}, ',') AS paths FROM statements WHERE len({_PATHS}) > 0")
+def _naming(spark, sf_dir):
+    s = views.statements(spark, sf_dir)
+    return s.withColumn("content", F.concat(views.pick(NAMES, F.col("store_ordinal") % len(NAMES)), F.lit(" "), F.col("content")))
+
+
+@query(f"{_NAMING} SELECT memory_id, array_to_string({_PATHS}, ',') AS paths FROM naming WHERE len({_PATHS}) > 0")
 def referenced_paths(spark, sf_dir):
-    return views.statements(spark, sf_dir).select("memory_id", F.array_join(upkeep.referenced_paths(F.col("content")), ",").alias("paths")).where("paths != ''")
+    return _naming(spark, sf_dir).select("memory_id", F.array_join(upkeep.referenced_paths(F.col("content")), ",").alias("paths")).where("paths != ''")
 
 
 _CHANGED = AS_OF - 20 * DAY
 
 
-@query(f"""{views.with_views('statements', 'projects')}, files AS (SELECT project_id, 'docs/plan.md' AS path, CAST({_CHANGED} AS BIGINT) AS changed_s FROM projects UNION ALL SELECT project_id, 'src/app.py', NULL FROM projects),
- named AS (SELECT memory_id, store_ordinal, project_id, at_s, unnest({_PATHS}) AS path FROM statements WHERE status = 'active')
+@query(f"""{views.with_views('statements', 'projects')}, naming AS {_NAMING.split(', naming AS ')[1]}, files AS (SELECT project_id, 'docs/plan.md' AS path, CAST({_CHANGED} AS BIGINT) AS changed_s FROM projects UNION ALL SELECT project_id, 'src/app.py', NULL FROM projects),
+ named AS (SELECT memory_id, store_ordinal, project_id, at_s, unnest({_PATHS}) AS path FROM naming WHERE status = 'active')
 SELECT memory_id, path, CASE WHEN changed_s IS NULL THEN 'SOURCE_MISSING' ELSE 'SOURCE_CHANGED' END AS reason FROM named JOIN files USING (project_id, path) WHERE (changed_s IS NULL OR changed_s > at_s) AND NOT (changed_s IS NOT NULL AND store_ordinal % 32 = 13)""")
 def staleness_scan(spark, sf_dir):
-    projects, s = views.projects(spark, sf_dir), views.statements(spark, sf_dir)
+    projects, s = views.projects(spark, sf_dir), _naming(spark, sf_dir)
     files = projects.select("project_id", F.lit("docs/plan.md").alias("path"), F.lit(_CHANGED).cast("long").alias("changed_s")).union(projects.select("project_id", F.lit("src/app.py"), F.lit(None).cast("long")))
     acknowledged = s.where("store_ordinal % 32 = 13").select("memory_id", F.lit("docs/plan.md").alias("path"), F.lit(_CHANGED).cast("long").alias("changed_s"))
     return upkeep.stale_records(s, files, acknowledged)
@@ -165,13 +175,13 @@ def triage_counts(spark, sf_dir):
 @query(f"""{ITEMS}, {_BEST} SELECT memory_id, CASE WHEN {rlike('trim(content)', text.PASTED_OUTPUT)} THEN 'PASTED_OUTPUT' WHEN {rlike('trim(content)', upkeep.MACHINE)} THEN 'MACHINE_CONTENT' WHEN length(trim(content)) > 600 THEN 'TOO_LONG' WHEN length(trim(content)) < 20 THEN 'TOO_SHORT' WHEN commitment = 'QUESTION' THEN 'QUESTION'
  WHEN is_state AND commitment <> 'COMMITTED' THEN 'STATE_NOT_COMMITTED' WHEN b.similarity >= 0.6 THEN 'DUPLICATE' ELSE '' END AS verdict FROM items LEFT JOIN best b ON b.id = store_ordinal""")
 def rule_verdicts(spark, sf_dir):
-    met = _items(spark, sf_dir).join(_best_earlier(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
+    met = _items(spark, sf_dir).join(_best_similar(spark, sf_dir), F.col("store_ordinal") == F.col("id"), "left")
     return met.select("memory_id", upkeep.rule_verdict(F.col("content"), F.col("commitment"), F.col("is_state"), F.coalesce("similarity", F.lit(0.0))).alias("verdict"))
 
 
-@query(f"{S}, {_BEST} SELECT id, round(similarity, 6) AS similarity FROM best")
+@query(f"{S}, {_BEST} SELECT id, similarity FROM best")
 def digest_similarity(spark, sf_dir):
-    return _best_earlier(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+    return _best_similar(spark, sf_dir)
 
 
 @query(f"{ITEMS} SELECT reason, review_status, count(*) AS n FROM items WHERE at_s >= {AS_OF - 14 * DAY} GROUP BY reason, review_status")
