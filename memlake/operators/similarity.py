@@ -23,23 +23,26 @@ def copies_of(records: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(block, token, id, n): the rarest tokens of each set, as many as any similar set must share one of."""
-    each = sets.select("block", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    """(block, token, id, n, p): the rarest tokens of each set, by hash, as many as any similar set must share one of, with their places."""
+    each = sets.select("block", "id", F.size("tokens").alias("n"), F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("f"))
     order = Window.partitionBy("id").orderBy("f", "token")
     ranked = each.join(counts, "token").withColumn("p", F.row_number().over(order))
-    return ranked.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("block", "token", "id", "n")
+    return ranked.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("block", "token", "id", "n", "p")
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity), a < b: the pairs of `token_sets` of one block whose Jaccard similarity is at least `least`.
 
-    A pair shares one of the rarest tokens of both, so only those meet, and only if their sizes allow the similarity. Ids are unique.
+    A pair shares one of the rarest tokens of both, so only those meet, and only if their sizes, and what can follow the first token that
+    they share, allow the similarity. Ids are unique.
     """
     sets = cut(sets)
     p = cut(_prefixes(sets, least))
-    a, b = p.select("block", "token", F.col("id").alias("a"), F.col("n").alias("na")), p.select("block", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["block", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
+    a, b = (p.select("block", "token", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in ("a", "b"))
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    met = a.join(b, ["block", "token"]).where((F.col("a") < F.col("b")) & sizes & reach).select("a", "b").distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = met.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     similarity = F.col("both") / (F.size("x") + F.size("y") - F.col("both"))
