@@ -20,14 +20,15 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Runs that the models judge: whole runs, so a search passes over each character once.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 LEAST_VALUE = 12
 
 #: The models' states; any other character is state 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-#: Mean log-likelihood ratio per transition, in nats, from which a run counts as random.
-THRESHOLD = 0.9
+#: A run counts as random if its log-likelihood ratio, in nats, passes so much per transition, and so much besides: a short run must be the
+#: clearer. A card number, whose digits are rare in words and nothing more, stays below it up to its 19 digits.
+THRESHOLD, BESIDES = 0.9, 12.0
 #: Labelled samples: so many random strings of each form, and the words of so many documents.
 RANDOM_STRINGS, WORD_DOCUMENTS = 2000, 1000
 
@@ -81,21 +82,21 @@ def mean_ratio(run: Column, ratios: Column) -> Column:
 
 def find_secrets(docs: DataFrame, ratios: Sequence[float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of `docs`: doc_id, text, `base` and `found` (`SPAN`, sorted by start, then kind): base has the fixed forms (assign, access,
-    hex); found also the runs of kind markov that overlap none of them.
+    hex); found also the runs of 16 characters and more, of kind markov, that overlap none of them and that the models call random.
 
-    A null text is the empty text; rows are independent, so repeated rows give repeated results; no rows give no rows.
+    A null text is the empty text; rows are independent, so repeated rows give repeated results; no rows give no rows. Texts of any length
+    are searched whole. Other columns are left behind.
     """
     text = F.col("text")
     assign = F.when(text.rlike(ASSIGN), F.transform(F.filter(F.zip_with(spans_of(text, ASSIGN, 0, "assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda s, v: F.struct(s.alias("s"), v.alias("v"))), lambda x: F.length(x["v"]) >= LEAST_VALUE), lambda x: x["s"])).otherwise(F.array().cast(SPAN))
     based = intake(docs).select("doc_id", "text", F.array_sort(F.concat(assign, spans_of(text, ACCESS, 1, "access"), spans_of(text, HEX, 2, "hex"))).alias("base"))
     table = fixed_array(ratios)
-    runs = F.filter(spans_of(text, RUN, 3, "markov"), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
-    scored = based.select("*", runs.alias("runs")).select("*", F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias("open"))
-    random = F.when(F.size("open") > 0, F.filter("open", lambda s: mean_ratio(s["match"], table) >= threshold)).otherwise(F.array().cast(SPAN))
+    scored = based.select("*", spans_of(text, RUN, 3, "markov").alias("runs")).select("*", F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias("open"))
+    random = F.when(F.size("open") > 0, F.filter("open", lambda s: mean_ratio(s["match"], table) >= threshold + BESIDES / F.length(s["match"]))).otherwise(F.array().cast(SPAN))
     return scored.select("doc_id", "text", "base", F.array_sort(F.concat("base", random)).alias("found"))
 
 
 def secrets_digest(docs: DataFrame, ratios: Sequence[float]) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov: `find_secrets` as counts and one list, with its defined cases."""
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find_secrets(docs, ratios).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), n("markov"))

@@ -53,3 +53,24 @@ def test_markov_models_tell_random_from_words(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert secrets.secrets_digest(none, secrets.markov_ratios(secrets.labelled_samples(spark, none))).count() == 0
+
+
+def brute_ratio(run, ratios):
+    codes = [secrets.ALPHABET.find(c) + 1 for c in run]
+    return sum(ratios[a * secrets.STATES + b] for a, b in zip(codes, codes[1:])) / (len(run) - 1)
+
+
+def test_markov_spans_are_brute_force(spark):
+    """Every run of 16 characters and more is judged by its transitions alone, letters without a digit too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.markov_ratios(secrets.labelled_samples(spark, docs))
+    texts = ["key zqXvBnMkLpWrTyGhJdFs end", "internationaltelecommunications", "4111111111111111 and 4699065906345690", "xKq9ZvTb2LmWp7Rd", "short1Ab", "", None, "a/b/c-d_e=reading_about_dog_jumps", "qZ8xV" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = sorted((r["doc_id"], tuple(s["match"] for s in r["found"] if s["kind"] == "markov")) for r in secrets.find_secrets(df, ratios).collect())
+    want = []
+    for i, t in [*enumerate(texts), (0, texts[0])]:
+        runs = re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t or "")
+        held = [m.group() for m in re.finditer(secrets.HEX, t or "")]
+        want.append((i, tuple(r for r in runs if not any(h in r for h in held) and brute_ratio(r, ratios) >= secrets.THRESHOLD + secrets.BESIDES / len(r))))
+    assert got == sorted(want)
+    assert got[0][1] == ("zqXvBnMkLpWrTyGhJdFs",) and (1, ()) in got and (2, ()) in got
