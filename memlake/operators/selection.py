@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring
-from memlake.functions.text import stems, token_estimate, tokens
+from memlake.functions.text import capture_reason, stems, token_estimate, tokens
+from memlake.lineage import cut
 
 from .search import active, in_scope
 
@@ -24,28 +25,53 @@ def bootstrap_rank(records: DataFrame, query: tuple[str, ...], project_id: str,
     return rated.orderBy("tier", F.desc("score"), "memory_id").limit(k)
 
 
-def select_distinct(ranked: DataFrame, limit: int = 12, least: float = 0.6) -> DataFrame:
-    """`ranked` (a shortlist: memory_id, content, tier, score) with the reason each record is left out, '' if it is chosen.
+def select_distinct(ranked: DataFrame, limit: int = 12, least: float = 0.6, stale: DataFrame | None = None) -> DataFrame:
+    """`ranked` (a shortlist: memory_id, content, tier, score) with the `place` at which each record was looked at and the reason it is left
+    out, '' if it is chosen. Records of `stale` (memory_id) come behind all others.
 
-    The choice is sequential: a record goes if its stems overlap any chosen one's by `least`. It runs in one task over the shortlist, whose
-    length the ranking before it bounds.
+    The choice is sequential: while there are slots, a record goes if its stems overlap any chosen one's by `least`. It runs in one task
+    over the shortlist, whose length the ranking before it bounds.
     """
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["tier", "score", "memory_id"], ascending=[True, False, True])
+        frame = frame.sort_values(["stale", "tier", "score", "memory_id"], ascending=[True, True, False, True])
         chosen: list[tuple[str, set]] = []
         reasons = []
         for name, own in zip(frame["memory_id"], map(set, frame["stems"]), strict=True):
-            near = next((other for other, s in chosen if own | s and len(own & s) / len(own | s) >= least), None)
-            if near is None and len(chosen) < limit:
+            near = None if len(chosen) == limit else next((other for other, s in chosen if own and s and len(own & s) / len(own | s) >= least), None)
+            if len(chosen) == limit:
+                reasons.append("SLOT_LIMIT")
+            elif near is not None:
+                reasons.append(f"NEAR_DUPLICATE_OF:{near}")
+            else:
                 chosen.append((name, own))
                 reasons.append("")
-            else:
-                reasons.append(f"NEAR_DUPLICATE_OF:{near}" if near else "SLOT_LIMIT")
-        return pd.DataFrame({"memory_id": frame["memory_id"], "reason": reasons})
+        return pd.DataFrame({"memory_id": frame["memory_id"], "place": range(len(frame)), "reason": reasons})
+
+    marked = ranked.withColumn("stale", F.lit(False)) if stale is None else ranked.join(stale.select("memory_id", F.lit(True).alias("stale")).distinct(), "memory_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    own = marked.select("memory_id", "tier", "score", "stale", stems(F.col("content")).alias("stems"), F.lit(0).alias("one"))
+    return own.groupBy("one").applyInPandas(choose, "memory_id string, place int, reason string")
 
-    own = ranked.select("memory_id", "tier", "score", stems(F.col("content")).alias("stems"), F.lit(0).alias("one"))
-    return own.groupBy("one").applyInPandas(choose, "memory_id string, reason string")
+
+def explain_bootstrap(records: DataFrame, query: tuple[str, ...], project_id: str, as_of: int, stale: DataFrame, budget: int = 3000, pool: int = 15, slots: int = 12, overhead: int = 4, human_approval: bool = False) -> DataFrame:
+    """(memory_id, reason, stale_candidate) of every active record in scope: DELIVERED, or where it stopped: NOT_APPROVED (if people must
+    approve), SAFETY_FILTERED, BELOW_POOL, NEAR_DUPLICATE_OF:id, SLOT_LIMIT, TOKEN_BUDGET.
+
+    The first `pool` records by rank make the pool; those that are filtered leave their place empty. What is chosen is cut from its end
+    until its cautious token estimate, of its bytes and `overhead` a record, fits the budget.
+    """
+    seen = records.where(in_scope(project_id) & active())
+    first = bootstrap_rank(records, query, project_id, as_of, pool)
+    stopped = F.when(F.lit(human_approval) & ~F.coalesce("is_approved", F.lit(True)), "NOT_APPROVED").when(capture_reason(F.col("content")) != "", "SAFETY_FILTERED")
+    rated = seen.select("memory_id", stopped.alias("stopped"))
+    marked = cut(first.join(rated, "memory_id"))
+    chosen = select_distinct(marked.where("stopped is null"), slots, stale=stale).join(marked.select("memory_id", F.octet_length("content").alias("n")), "memory_id")
+    order = Window.partitionBy(F.lit(0)).orderBy("place")  # a shortlist
+    used = F.ceil(F.sum(F.when(F.col("reason") == "", F.col("n") + overhead).otherwise(0)).over(order) / 3) + 1
+    told = chosen.withColumn("used", used).select("memory_id", F.when(F.col("reason") != "", F.col("reason")).when(F.col("used") > budget, "TOKEN_BUDGET").otherwise("DELIVERED").alias("chosen"))
+    flags = stale.select("memory_id", F.lit(True).alias("flagged")).distinct()
+    met = rated.join(F.broadcast(told), "memory_id", "left").join(flags, "memory_id", "left")
+    return met.select("memory_id", F.coalesce("stopped", "chosen", F.lit("BELOW_POOL")).alias("reason"), F.coalesce("flagged", F.lit(False)).alias("stale_candidate"))
 
 
 def within_budget(ranked: DataFrame, budget: int, overhead: int = 4) -> DataFrame:

@@ -473,11 +473,29 @@ def bootstrap_rank(spark, sf_dir):
     return rounded(_bootstrap(spark, sf_dir).drop("content"), "score")
 
 
-@query()
+_STEMS = r"list_sort(list_distinct(list_transform(regexp_extract_all(lower(translate(content, 'Iİ', 'ıi')), '[\p{L}\p{N}_]{3,}'), lambda w: substr(w, 1, 5))))"
+_TWIN = "list_filter(range(1, len(r.ids) + 1), lambda i: len(p.t) > 0 AND len(r.sets[i]) > 0 AND CAST(len(list_intersect(r.sets[i], p.t)) AS DOUBLE) / (len(r.sets[i]) + len(p.t) - len(list_intersect(r.sets[i], p.t))) >= 6e-1)[1]"
+#: The choice one record after the other, over `pool` (nr, memory_id, t).
+_CHOOSING = f"""run(nr, memory_id, reason, ids, sets) AS (SELECT 0::BIGINT, '', '', []::VARCHAR[], []::VARCHAR[][] UNION ALL
+ SELECT nr, memory_id, reason, CASE WHEN reason = '' THEN list_append(ids, memory_id) ELSE ids END, CASE WHEN reason = '' THEN list_append(sets, t) ELSE sets END FROM (
+  SELECT p.nr, p.memory_id, p.t, r.ids, r.sets, CASE WHEN len(r.ids) = 12 THEN 'SLOT_LIMIT' WHEN {_TWIN} IS NOT NULL THEN 'NEAR_DUPLICATE_OF:' || r.ids[{_TWIN}] ELSE '' END AS reason FROM run r JOIN pool p ON p.nr = r.nr + 1))"""
+
+
+@query(f"{S}, {_BOOT}, pool AS (SELECT memory_id, {_STEMS} AS t, row_number() OVER (ORDER BY tier, score DESC, memory_id) AS nr FROM boot), {_CHOOSING} SELECT memory_id, CAST(nr - 1 AS INTEGER) AS place, reason FROM run WHERE nr > 0")
 def select_distinct(spark, sf_dir):
     return selection.select_distinct(_bootstrap(spark, sf_dir))
 
 
+@query(f"""{S}, {_BOOT}, flagged AS (SELECT memory_id FROM statements WHERE store_ordinal % 4 = 1), safe AS (SELECT b.*, {reason_sql('content')} <> '' AS unsafe, EXISTS (FROM flagged f WHERE f.memory_id = b.memory_id) AS stale FROM boot b),
+ pool AS (SELECT memory_id, content, {_STEMS} AS t, row_number() OVER (ORDER BY stale, tier, score DESC, memory_id) AS nr FROM safe WHERE NOT unsafe), {_CHOOSING},
+ told AS (SELECT memory_id, CASE WHEN reason <> '' THEN reason WHEN used > 3000 THEN 'TOKEN_BUDGET' ELSE 'DELIVERED' END AS chosen FROM (
+  SELECT r.memory_id, r.reason, CAST(ceil(sum(CASE WHEN r.reason = '' THEN octet_length(encode(p.content)) + 4 ELSE 0 END) OVER (ORDER BY r.nr) / 3e0) AS BIGINT) + 1 AS used FROM run r JOIN pool p USING (nr)))
+SELECT s.memory_id, CASE WHEN {reason_sql('s.content')} <> '' THEN 'SAFETY_FILTERED' ELSE coalesce(t.chosen, 'BELOW_POOL') END AS reason, s.store_ordinal % 4 = 1 AS stale_candidate FROM statements s LEFT JOIN told t USING (memory_id) WHERE {ACTIVE} AND {SCOPED}""")
+def explain_bootstrap(spark, sf_dir):
+    s = views.statements(spark, sf_dir)
+    return selection.explain_bootstrap(s, STATE_TOKENS, PROJECT, AS_OF, s.where("store_ordinal % 4 = 1").select("memory_id"))
+
+
 @query(f"{S}, {_BOOT} SELECT memory_id, CAST(used AS BIGINT) AS used FROM (SELECT memory_id, sum(CAST(ceil(octet_length(encode(content)) / 3e0) AS BIGINT) + 5) OVER (ORDER BY tier, score DESC, memory_id ROWS UNBOUNDED PRECEDING) AS used FROM boot) WHERE used <= 400")
 def budget_prefix(spark, sf_dir):
     return selection.within_budget(_bootstrap(spark, sf_dir), 400)
