@@ -531,4 +531,4 @@ def order_progress(spark, sf_dir):
     return o.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("project"), zero("items"), zero("open_items"), zero("blocked"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "BLOCKED").otherwise("DONE").alias("status"))
 
 
-from memlake.plans import audit, evidence, jobs, lifecycle, propositions, reports, retrieval, state, truth, upkeep  # noqa: E402,F401  register their queries beside these
+from memlake.plans import audit, evidence, jobs, lifecycle, propositions, reports, retrieval, review, state, truth, upkeep  # noqa: E402,F401  register their queries beside these
