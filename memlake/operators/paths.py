@@ -13,21 +13,21 @@ def chain_ends(pointers: DataFrame) -> DataFrame:
     the last of them. A chain that runs into a cycle is unfinished and has no end; hops and last are null then.
 
     Every round doubles how far each row sees, so a chain of n rows takes log2(n) joins; rows that see their end take no part any more.
+    A row that will see an end in a later round has one on its way that sees it in this: a round that ends none leaves cycles only.
     """
     known = pointers.select("id", F.when(F.col("next") != "", F.col("next")).alias("next"))
     there = known.select(F.col("id").alias("ahead"), F.lit(True).alias("there"))
     own = known.join(there, F.col("next") == F.col("ahead"), "left")
     now = cut(own.select("id", F.when(F.col("there"), 1).otherwise(0).cast("long").alias("hops"), F.when(F.col("there"), F.col("next")).otherwise(F.col("id")).alias("last"), F.coalesce("there", F.lit(False)).alias("open")))
-    left, rounds = now.where("open").count(), 0
-    most = left
-    # after k rounds an open row has seen 2^k rows; one that has seen more than there are is in a cycle or runs into one
-    while left and 2**rounds <= most:
-        far = now.select(F.col("id").alias("last"), F.col("hops").alias("more"), F.col("last").alias("further"), F.col("open").alias("still"))
-        met = now.where("open").join(far, "last").select("id", (F.col("hops") + F.col("more")).alias("hops"), F.col("further").alias("last"), F.col("still").alias("open"))
-        now = cut(now.where("not open").unionByName(met))
-        left, rounds = now.where("open").count(), rounds + 1
+    done, now = now.where("not open"), now.where("open")
+    left, before = now.count(), None
+    while left and left != before:
+        far = done.unionByName(now).select(F.col("id").alias("last"), F.col("hops").alias("more"), F.col("last").alias("further"), F.col("open").alias("still"))
+        met = cut(now.join(far, "last").select("id", (F.col("hops") + F.col("more")).alias("hops"), F.col("further").alias("last"), F.col("still").alias("open")))
+        done, now = done.unionByName(met.where("not open")), met.where("open")
+        left, before = now.count(), left
     end = lambda c: F.when(~F.col("open"), F.col(c)).alias(c)
-    return now.select("id", end("hops"), end("last"), F.col("open").alias("unfinished"))
+    return done.unionByName(now).select("id", end("hops"), end("last"), F.col("open").alias("unfinished"))
 
 
 def shortest_paths(own_edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:

@@ -99,3 +99,13 @@ def test_subjects(spark):
     for r in sorted(got.collect(), key=lambda r: (r["question"], r["rank"])):
         found.setdefault(r["question"], []).append((r["id"], r["exact"]))
     assert found == {1: [("e2", True), ("e1", True), ("e3", False)], 2: [("e4", True)], 5: [("e5", True), ("e2", False), ("e3", False)]}
+
+
+def test_rings_end_the_search_for_ends(spark, monkeypatch):
+    """A ring among a thousand short chains takes the rounds of the longest chain, not those of a chain of all rows."""
+    rounds = []
+    monkeypatch.setattr(paths, "cut", lambda df: rounds.append(1) or df.localCheckpoint())
+    rows = [(f"{k}", f"{k - 1}" if k % 4 else None) for k in range(1000)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]
+    got = {r["id"]: (r["hops"], r["last"], r["unfinished"]) for r in paths.chain_ends(spark.createDataFrame(rows, "id string, next string")).collect()}
+    assert got["7"] == (3, "4", False) and got["8"] == (0, "8", False) and all(got[x] == (None, None, True) for x in "abcd")
+    assert len(got) == len(rows) and len(rounds) <= 5
