@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import capture_reason
+from memlake.lineage import cut
 
 from .lifecycle import committed, lifecycle_decisions
 
@@ -20,18 +21,27 @@ REQUEST = ("candidate_id", "content", "type", "scope", "project_id", "fingerprin
 PROVENANCE = ("source", "approved")
 
 
-def _sum_hash(columns: tuple[str, ...]) -> Column:
-    """A hash of an operation's rows in their order, as an aggregate: slices of SHA-256 over position and fields, summed exactly. Nothing
-    is gathered, however many candidates an operation has."""
-    fields = F.to_json(F.struct(F.col("position"), *[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
-    digest = F.sha2(fields, 256)
+def _digest(columns: tuple[str, ...]) -> Column:
+    """SHA-256 over position and fields of a candidate."""
+    return F.sha2(F.to_json(F.struct(F.col("position"), *[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
+def prepared(proposed: DataFrame) -> DataFrame:
+    """`proposed` with what is read off its contents: why they are unsafe, and the digests of what is asked and on whose word."""
+    return proposed.withColumns({"unsafe": capture_reason(F.col("content")), "request": _digest(REQUEST), "provenance": _digest(PROVENANCE)})
+
+
+def _sum_hash(digest: Column) -> Column:
+    """A hash of an operation's rows in their order, as an aggregate: slices of the digests, summed exactly. Nothing is gathered, however
+    many candidates an operation has."""
     slices = [F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[s.cast("string") for s in slices]), 256)
 
 
 def operation_hashes(proposed: DataFrame) -> DataFrame:
-    """(operation_id, request_hash, provenance_hash) of each batch of candidates."""
-    return proposed.groupBy("operation_id").agg(_sum_hash(REQUEST).alias("request_hash"), _sum_hash(PROVENANCE).alias("provenance_hash"))
+    """(operation_id, request_hash, provenance_hash, stated) of each batch of candidates."""
+    own = proposed if "request" in proposed.columns else proposed.select("operation_id", "position", "stated", _digest(REQUEST).alias("request"), _digest(PROVENANCE).alias("provenance"))
+    return own.groupBy("operation_id").agg(_sum_hash(F.col("request")).alias("request_hash"), _sum_hash(F.col("provenance")).alias("provenance_hash"), F.max("stated").alias("stated"))
 
 
 def operation_states(proposed: DataFrame, receipts: DataFrame, strict: bool = False) -> DataFrame:
@@ -39,9 +49,8 @@ def operation_states(proposed: DataFrame, receipts: DataFrame, strict: bool = Fa
     receipt's, MISMATCH where they differ; with `strict`, a mismatch fails the plan. A receipt without a provenance hash predates them and
     is replayed only for candidates that state neither source nor approval (`stated`)."""
     own = operation_hashes(proposed)
-    stated = proposed.groupBy("operation_id").agg(F.max("stated").alias("stated"))
     prior = receipts.select("operation_id", F.col("request_hash").alias("old_request"), F.col("provenance_hash").alias("old_provenance"), F.lit(True).alias("known"))
-    met = own.join(stated, "operation_id").join(prior, "operation_id", "left")
+    met = own.join(prior, "operation_id", "left")
     other = (F.col("request_hash") != F.col("old_request")) | F.when(F.col("old_provenance").isNull(), F.col("stated")).otherwise(F.col("provenance_hash") != F.col("old_provenance"))
     mismatch = F.raise_error(F.concat(F.lit("operation identity mismatch: "), "operation_id")).cast("string") if strict else F.lit("MISMATCH")
     state = F.when(F.col("known").isNull(), F.lit("DECIDE")).when(other, mismatch).otherwise("REPLAY")
@@ -52,7 +61,8 @@ def policy(proposed: DataFrame, projects: DataFrame) -> DataFrame:
     """`proposed` with `p_action` and `p_reason`, null where policy lets a candidate pass to the store: safety, project authority,
     approval, commitment and missing targets, in this order."""
     own = projects.select(F.col("project_id"), F.col("status").alias("registered"), "proactive_capture")
-    met = proposed.join(own, "project_id", "left").withColumn("unsafe", capture_reason(F.col("content")))
+    judged = proposed if "unsafe" in proposed.columns else proposed.withColumn("unsafe", capture_reason(F.col("content")))
+    met = judged.join(own, "project_id", "left")
     codes = F.create_map(*[F.lit(x) for pair in SAFETY.items() for x in pair])
     of_project = F.col("scope") == "project"
     reject = (
@@ -74,6 +84,7 @@ def policy(proposed: DataFrame, projects: DataFrame) -> DataFrame:
     return kept.withColumn("p_action", action).withColumn("p_reason", F.coalesce("p_reject", "p_review")).drop("p_reject", "p_review", "unsafe", "registered", "proactive_capture")
 
 
+RECORD = ("memory_id", "store_ordinal", "scope", "project_id", "claim_key", "fingerprint", "status", "superseded_by")
 DECISION = ("operation_id", "position", "candidate_id", "action", "reason", "target", "successor")
 
 
@@ -126,9 +137,12 @@ def process(proposed: DataFrame, records: DataFrame, projects: DataFrame, receip
     An operation with a receipt gives its stored decisions and changes nothing; one whose hashes differ from its receipt gives none, or
     fails the plan. An operation is receipted if none of its decisions was rejected, left to review or in conflict.
     """
-    operations = operation_states(proposed, receipts, strict)
+    # contents are read once; what follows works on narrow tables
+    proposed = cut(prepared(proposed).select("operation_id", "position", "ordinal", "stated", *[c for c in (*REQUEST, *PROVENANCE) if c != "content"], "unsafe", "request", "provenance"))
+    records = cut(records.select(*RECORD))
+    operations = cut(operation_states(proposed, receipts, strict))
     to_decide = operations.where("state = 'DECIDE'").select("operation_id")
-    decided = _decided(proposed.join(to_decide, "operation_id", "left_semi"), records, projects)
+    decided = cut(_decided(proposed.drop("request", "provenance").join(to_decide, "operation_id", "left_semi"), records, projects).select(*DECISION, "ordinal", "scope", "project_id", "claim_key", "fingerprint"))
     replayed = receipted.join(operations.where("state = 'REPLAY'"), "operation_id", "left_semi").select(*DECISION)
     own = decided.select(*DECISION)
     open_ = own.where(F.col("action").isin(*UNSETTLED)).select("operation_id").distinct()
@@ -146,11 +160,10 @@ def process(proposed: DataFrame, records: DataFrame, projects: DataFrame, receip
 
 def committed_records(records: DataFrame, decided: DataFrame, statuses: DataFrame) -> DataFrame:
     """The store after its decisions: records with their statuses, then what entered, with the candidate's fields, in the order of entry."""
-    columns = ("memory_id", "store_ordinal", "scope", "project_id", "claim_key", "fingerprint", "status", "superseded_by")
     kept = records.select("memory_id", "store_ordinal", "scope", "project_id", "claim_key", "fingerprint").join(statuses, "memory_id")
     entered = decided.where(F.col("action").isin("NEW", "SUPERSEDE_EXISTING")).select(F.col("successor").alias("memory_id"), "ordinal", "scope", "project_id", "claim_key", "fingerprint", F.lit("active").alias("status"), F.lit("").alias("superseded_by"))
     last = F.coalesce(records.select(F.max("store_ordinal")).scalar(), F.lit(-1))
-    return kept.select(*columns).unionByName(entered.withColumn("store_ordinal", last + 1 + F.col("ordinal")).select(*columns))
+    return kept.select(*RECORD).unionByName(entered.withColumn("store_ordinal", last + 1 + F.col("ordinal")).select(*RECORD))
 
 
 def merged_with_prior(validated: DataFrame, stored: DataFrame, aliases: DataFrame) -> DataFrame:

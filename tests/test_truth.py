@@ -64,3 +64,11 @@ def test_prior_fields_are_carried(spark):
     got = {r["candidate_id"]: r for r in truth.merged_with_prior(new, stored, keys).collect()}
     assert (got["a"]["memory_id"], got["a"]["status"], got["a"]["superseded_by"], got["a"]["at_s"], got["a"]["is_approved"]) == ("mem_1", "resolved", "mem_9", 5, True)
     assert (got["b"]["memory_id"], got["b"]["merge"], got["b"]["at_s"]) == ("", "new", 9) and got["c"]["memory_id"] == "mem_2"
+
+
+def test_contents_are_read_once(spark, batch, parts):
+    """What a batch gives is planned over narrow tables: no content is hashed or judged again."""
+    done = truth.process(batch, *parts, *plans._nothing(spark))
+    for name in ("operations", "decisions", "records", "receipts", "receipted"):
+        plan = getattr(done, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in plan and "parquet" not in plan, name
