@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.lineage import cut
+
 DAY = 86400
 #: Days by which a review item is kept longer, the most from its creation, days of a trend, and the limits of references.
 EXTEND_DAYS, MOST_DAYS, TREND_DAYS, POOL, REFERENCES = 7, 30, 7, 500, 3
@@ -18,6 +20,8 @@ COMMON = tuple(
     "fakat ama veya ile bunu şunu buna şuna bunun şunun artık hâlâ yani şimdi burada orada değil".split()
 )
 LEAST_WORDS, USE_SHARE = 3, 0.5
+#: Words of delivered records that may be broadcast.
+BROADCAST_WORDS = 1_000_000
 MODES = ("OFF", "SHADOW", "CANARY", "ACTIVE")
 
 
@@ -65,14 +69,16 @@ def distinctive_words(content: Column) -> Column:
 def used_records(delivered: DataFrame, records: DataFrame, turns: DataFrame) -> DataFrame:
     """(session, memory_id): delivered records half of whose distinctive words, three at least, an assistant's turn of the session holds.
 
-    Words meet by (session, word), so neither a session's replies nor a record's uses are gathered into one row.
+    A session's replies are gathered as hashes of its different words, a record's words likewise, and only pairs of a delivery meet: neither
+    a delivery's words nor matches of single words are rows. The delivered records go to all tasks if their words are few.
     """
-    said = turns.where("role = 'assistant'").select("session", F.explode(distinctive_words(F.coalesce("content", F.lit("")))).alias("word")).distinct()
+    hashed = F.transform(distinctive_words(F.coalesce("content", F.lit(""))), lambda w: F.xxhash64(w))
+    said = turns.where("role = 'assistant'").select("session", F.explode(hashed).alias("word")).groupBy("session").agg(F.collect_set("word").alias("said"))
     asked = delivered.select("session", "memory_id").distinct()
-    words = records.join(asked.select("memory_id").distinct(), "memory_id", "left_semi").select("memory_id", distinctive_words(F.coalesce("content", F.lit(""))).alias("words")).where(F.size("words") >= LEAST_WORDS)
-    each = asked.join(words, "memory_id").select("session", "memory_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    met = each.join(said, ["session", "word"]).groupBy("session", "memory_id", "n").agg(F.count("*").alias("shared"))
-    return met.where(F.col("shared") >= USE_SHARE * F.col("n")).select("session", "memory_id")
+    words = cut(records.join(asked.select("memory_id").distinct(), "memory_id", "left_semi").select("memory_id", hashed.alias("words")).where(F.size("words") >= LEAST_WORDS))
+    few = (words.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
+    met = asked.join(F.broadcast(words) if few else words, "memory_id").join(said, "session")
+    return met.where(F.size(F.array_intersect("words", "said")) >= USE_SHARE * F.size("words")).select("session", "memory_id")
 
 
 def fitted(content: Column, limit: int) -> Column:
