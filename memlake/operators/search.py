@@ -13,6 +13,8 @@ from memlake.functions import scoring
 from memlake.functions.text import jaccard, words
 
 GATE, SHORTLIST = 0.05, 10
+#: Vectors that meet a block of queries at a time.
+SLICE = 512
 
 
 def in_scope(project_id: str | None, scope: str = "default") -> Column:
@@ -51,8 +53,8 @@ def semantic_search(records: DataFrame, vectors: DataFrame, query: list[float],
 def batch_semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest of all `vectors` for each of `queries` (both vec_id, embedding).
 
-    Queries are taken in blocks of `block`, which is what a task holds; each batch of vectors leaves its own k best per query, so the
-    shuffle carries k rows a batch and query, and never all pairs.
+    Queries are taken in blocks of `block`, which is what a task holds; each task leaves its own k best per query, so the shuffle carries
+    k rows a task and query, and never all pairs; a task holds the products of a block with `SLICE` vectors at a time.
     """
     ids = [r[0] for r in queries.select("vec_id").distinct().orderBy("vec_id").collect()]  # the caller's query set
     out = None
@@ -70,16 +72,20 @@ def _nearest(names: np.ndarray, matrix: np.ndarray, k: int):
     norms = np.linalg.norm(matrix, axis=1)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            if not len(x) or not len(names):
-                continue
-            own = np.array(x["embedding"].tolist(), np.float64)
-            length = norms[:, None] * np.linalg.norm(own, axis=1)
-            near = np.round(np.divide(matrix @ own.T, length, out=np.zeros(length.shape), where=length > 0), 9)
-            ids = x["vec_id"].to_numpy(np.int64)
-            order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(names)), order.shape[1])
-            yield pd.DataFrame({"query_id": names[rows], "vec_id": ids[order.ravel()], "similarity": near[rows, order.ravel()]})
+        # the k best of what a task has seen so far, by query; a slice of vectors at a time meets them
+        best, found = np.empty((len(names), 0)), np.empty((len(names), 0), np.int64)
+        for frame in frames:
+            for lo in range(0, len(frame) if len(names) else 0, SLICE):
+                x = frame.iloc[lo : lo + SLICE]
+                own = np.array(x["embedding"].tolist(), np.float64)
+                ids = x["vec_id"].to_numpy(np.int64)
+                length = norms[:, None] * np.linalg.norm(own, axis=1)
+                near = np.round(np.divide(matrix @ own.T, length, out=np.zeros(length.shape), where=length > 0), 9)
+                near, all_ids = np.hstack([best, near]), np.hstack([found, np.broadcast_to(ids, near.shape)])
+                order = np.lexsort((all_ids, -near), axis=1)[:, :k]
+                best, found = np.take_along_axis(near, order, 1), np.take_along_axis(all_ids, order, 1)
+        if best.size:
+            yield pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "vec_id": found.ravel(), "similarity": best.ravel()})
 
     return scan
 
