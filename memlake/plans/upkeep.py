@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import text
+from memlake.lineage import cut
 from memlake.operators import upkeep
 from memlake.sources import views
 from memlake.sources.views import AS_OF
@@ -169,7 +170,8 @@ def noise_rules(spark, sf_dir):
 
 @query(f"{_RULED} SELECT rule, count(*) AS n FROM ruled WHERE rule <> '' GROUP BY rule")
 def triage_counts(spark, sf_dir):
-    return _ruled(spark, sf_dir).where("rule != ''").groupBy("rule").agg(F.count("*").alias("n"))
+    # cut, else the filter would judge every text a second time
+    return cut(_ruled(spark, sf_dir).select("rule")).where("rule != ''").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(f"""{ITEMS}, {_BEST} SELECT memory_id, CASE WHEN {rlike('trim(content)', text.PASTED_OUTPUT)} THEN 'PASTED_OUTPUT' WHEN {rlike('trim(content)', upkeep.MACHINE)} THEN 'MACHINE_CONTENT' WHEN length(trim(content)) > 600 THEN 'TOO_LONG' WHEN length(trim(content)) < 20 THEN 'TOO_SHORT' WHEN commitment = 'QUESTION' THEN 'QUESTION'
