@@ -83,3 +83,12 @@ def test_pairs_with_words_in_common_are_not_shuffled(spark):
     assert n < 20 * len(rows)
     _, n = shuffled(spark, lambda: similarity.best_earlier(df, 0.5).count())
     assert n < 20 * len(rows)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.6])
+def test_a_set_is_shuffled_once_however_many_tiles_its_own_meets(spark, least):
+    rng = np.random.default_rng(4)
+    df = frame(spark, [(k, "x", sorted({f"w{w}" for w in rng.integers(0, 2000, 30)})) for k in range(400)])
+    own = df.select("block", "id", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    pairs, n = shuffled(spark, lambda: tiles.dealt(own, least, 1000).count())  # about forty tiles
+    assert pairs > 300 and n < 3 * 400
