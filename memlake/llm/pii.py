@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, intake, small_broadcast
+from .common import cut, cut_table, intake, small_broadcast
 from .spans import SPAN, listed, replaced, running, spans_of
 
 #: The forms, each written so that a search passes over a run of characters once (possessive, from the start of a run or
@@ -71,14 +71,23 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, pairs: DataFrame, entities: DataFrame, by_line: bool) -> DataFrame:
-    """(entity, term, ord): the terms over a threshold, of those in `pairs` (a row per context, entity and term). All counts are exact."""
-    per_entity = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    together = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).join(per_entity, "entity"))
+def term_counts(docs: DataFrame, by_line: bool) -> tuple[DataFrame, int]:
+    """(term, with_term): how many texts (`by_line`: lines) have each term; and how many texts there are."""
     corpus = intake(docs).select(F.explode(F.split("text", "\n")).alias("text")) if by_line else intake(docs).select("text")
-    n = corpus.count()
-    # Every context's terms are counted before the pairs meet their counts, so the join has a row per entity and term.
-    counts = corpus.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    return cut_table(corpus.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))), corpus.count()
+
+
+def common_terms(counts: DataFrame) -> DataFrame:
+    """The commonest of `term_counts`, as many as may be broadcast, all from some power of two on."""
+    power = F.floor(F.log2("with_term")).cast("int")
+    sizes = {r["power"]: r["n"] for r in counts.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+    least = next((k for k in range(64) if sum(n for p, n in sizes.items() if p >= k) <= BROADCAST_ROWS), 64)
+    return F.broadcast(counts.where(power >= least).withColumnRenamed("with_term", "known"))
+
+
+def disclosing_terms(counts: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """(entity, term, ord): the terms over a threshold, of those in `pairs` (a row per context, entity and term). All counts are exact."""
+    together = cut(pairs.groupBy("entity", "term").agg(F.count("*").alias("together"), F.first("with_entity").alias("with_entity")))
     share = (F.col("together") + PRIOR * F.col("with_entity") / n) / (F.greatest("with_term", "together") + PRIOR)
     rated = counts.join(small_broadcast(together, BROADCAST_ROWS), "term").select("entity", "term", share.alias("share"), F.log2(share * n / F.col("with_entity")).alias("bits"))
     return rated.where((F.col("share") >= GENERALISE_FROM) & (F.col("bits") >= LEAST_BITS)).select("entity", "term", F.when(F.col("share") >= REMOVE_FROM, 5).otherwise(4).alias("ord"))
@@ -86,21 +95,34 @@ def disclosing_terms(docs: DataFrame, pairs: DataFrame, entities: DataFrame, by_
 
 def disclosure_spans(docs: DataFrame, found: DataFrame, by_line: bool) -> DataFrame:
     """(doc_id, mark, more): the spans of disclosing terms in each text that has any, outside its personal data."""
-    held = cut(found.where(F.size("base") > 0).select("doc_id", "mark", "text", "base"))
+    held = cut_table(found.where(F.size("base") > 0).select("doc_id", "mark", "text", "base"))
     lines = lines_of(held)
     units = lines.where(F.size("base") > 0).select("doc_id", "mark", F.col("at").alias("unit"), F.col("line").alias("text"), "base") if by_line else held.withColumn("unit", F.lit(0))
+    key = ["doc_id", "mark", "unit"]
+    as_ = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in key], *[c for c in df.columns if c not in key])
+    same = lambda name: F.col("doc_id").eqNullSafe(F.col(f"{name}_doc_id")) & (F.col("mark") == F.col(f"{name}_mark")) & (F.col("unit") == F.col(f"{name}_unit"))
     nameless = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("kind")))
-    seen = units.withColumn("bare", nameless).select("doc_id", "mark", "unit", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(" ", s["kind"], s["match"])))).alias("entity"), replaced(F.col("text"), F.col("bare")).alias("others"))
-    pairs = seen.select("doc_id", "mark", "unit", "entity", F.explode(terms_of(F.col("others"))).alias("term"))
-    guilty = cut(disclosing_terms(docs, pairs, seen.select("entity"), by_line))
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(" ", s["kind"], s["match"])))
+    seen = cut_table(units.withColumn("bare", nameless).select(*key, named.alias("entities"), terms_of(replaced(F.col("text"), F.col("bare"))).alias("terms")))
+    each = seen.select(*key, F.explode("entities").alias("entity"))
+    per_entity = each.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    weighed = each.distinct().join(per_entity, "entity").groupBy(*key).agg(F.collect_list(F.struct("entity", "with_entity")).alias("entities"))
+    counts, n = term_counts(docs, by_line)
+    # A term that is too common to reach the lower threshold, even if it stood wherever the entity does, ends here, before any shuffle.
+    every = seen.drop("entities").join(as_(weighed, "w"), same("w")).select(*key, "entities", F.explode("terms").alias("term")).join(common_terms(counts), "term", "left")
+    reaches = F.col("known").isNull() | (F.col("e.with_entity") * (1 + PRIOR / n if n else 1) * (1 + 1e-9) >= GENERALISE_FROM * (F.col("known") + PRIOR))
+    pairs = cut(every.select(*key, "term", "known", F.explode("entities").alias("e")).where(reaches).select(*key, "e.entity", "e.with_entity", "term"))
+    guilty = cut(disclosing_terms(counts, n, pairs))
     # A term that several entities of the unit give away is removed if one of them asks for it.
-    worst = pairs.join(small_broadcast(guilty, BROADCAST_ROWS), ["entity", "term"]).groupBy("doc_id", "mark", "unit", "term").agg(F.max("ord").alias("ord"))
-    words = F.filter(spans_of(F.col("line"), TERM, 4, "term"), lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    each = lines.select("doc_id", "mark", (F.col("at") if by_line else F.lit(0)).alias("unit"), "at", F.explode(words).alias("w")).withColumn("term", F.lower("w.match"))
-    same = each.doc_id.eqNullSafe(worst.doc_id) & (each.mark == worst.mark) & (each.unit == worst.unit) & (each.term == worst.term)
+    worst = pairs.join(small_broadcast(guilty, BROADCAST_ROWS), ["entity", "term"]).groupBy(*key, "term").agg(F.max("ord").alias("ord"))
+    listed_ = worst.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "ord"))).alias("ords"))
+    marked = lines.withColumn("unit", F.col("at") if by_line else F.lit(0)).join(as_(listed_, "g"), same("g"))
+    outside = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    words = F.filter(spans_of(F.col("line"), TERM, 4, "term"), lambda w: F.map_contains_key("ords", F.lower(w["match"])) & outside(w))
+    term = marked.select("doc_id", "mark", "at", "ords", F.explode(words).alias("w")).withColumn("ord", F.element_at("ords", F.lower("w.match")))
     kind = F.when(F.col("ord") == 5, "remove").otherwise("generalise")
     span = F.struct((F.col("at") + F.col("w.start")).cast("int").alias("start"), F.col("ord"), (F.col("at") + F.col("w.end")).cast("int").alias("end"), kind.alias("kind"), F.col("w.match").alias("match"))
-    return each.join(worst, same).select(each.doc_id, each.mark, span.alias("s")).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("more"))
+    return term.select("doc_id", "mark", span.alias("s")).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("s")).alias("more"))
 
 
 def find_personal_data(docs: DataFrame, by_line: bool = True) -> DataFrame:

@@ -90,3 +90,13 @@ def test_terms_of_rare_entities_anywhere_in_the_document(spark):
 
 def test_nothing(spark):
     assert pii.personal_digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_terms_too_common_to_disclose_are_not_shuffled_with_entities(spark):
+    from test_similarity import shuffled
+
+    words = " ".join(f"{a}{b}word" for a in "abcdefghij" for b in "abcdefghijklmnopqrst")
+    docs = spark.createDataFrame([(k, f"{words} own{chr(97 + k % 26)}{chr(97 + k // 26)} mail{k}@example.org") for k in range(60)], "doc_id long, text string")
+    rows, n = shuffled(spark, lambda: pii.find_personal_data(docs, by_line=False).collect())
+    assert {len(r["found"]) - len(r["base"]) for r in rows} == {1}  # the word of its own
+    assert n < 6000  # entities with every term would be 12000 rows, several times
