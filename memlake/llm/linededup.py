@@ -1,11 +1,11 @@
 """Line dedup: an exact set-similarity join over the lines of all documents.
 
 A line is the set of its words. Equal sets are one class from the start, represented by the first line. The words of a class are ordered
-by rarity, and the prefix filter runs over the links of that order, the pairs of words that follow each other in it: two sets that reach
-the threshold share so many links that the first two fifths of either's links hold a common one. Links are far rarer than words, so
-nearly all of them occur once and fall out as soon as they are counted. What is left passes length and positional filters, then a
-comparison of 128-bit sketches, then the exact one. Each link first meets the earliest line with it; only lines that no earliest line
-removes meet the others, so a group of thousands of variants of one line stays linear as long as they resemble its first.
+by rarity. Two sets that reach the threshold share one of their first words that is rare, or else one of the first links of frequent words,
+the pairs that follow each other in the order (`signatures`). Rare words bring few lines together whatever the corpus, and links are far
+rarer than frequent words, so most entries end as soon as they are counted. What is left passes length and positional filters and a
+comparison of 64-bit sketches inside the join, then the exact comparison. Each signature first meets the earliest line with it; only lines that
+no earliest line removes meet the others, so a group of thousands of variants of one line stays linear as long as they resemble its first.
 
 Splitting, hashing and sorting words is numpy work inside tasks; the joins, counts and decisions are Spark's. (The forms without Python,
 of which the README gives the figures, did not meet the limits.)
@@ -13,7 +13,6 @@ of which the README gives the figures, did not meet the limits.)
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +26,17 @@ from .common import cut, cut_table, mixed, small_broadcast
 NUMERATOR, DENOMINATOR = 4, 5
 #: Sets of fewer words reach the threshold with equal sets only.
 LINKED = 4
-#: Word counts are kept for so many hash buckets: any total order of words is right, a rarer word first is only faster.
-BUCKET_BITS = 16
+#: Words are counted by hash buckets, about one for 128 bytes of text, within these bits: any order of buckets and any choice of rare ones is
+#: right, they only decide how much meets.
+BUCKET_BITS = (16, 24)
+#: Rarity ranks: 2 log2 (n + 1) of the words in a bucket; one of a single word, and the highest of a rare one (21 words).
+ONCE, RARE = 2, 8
+#: Bucket counts that a task holds before it writes them.
+COUNTED = 4_000_000
 #: Characters that are looked at together; a longer line is looked at alone.
 TOGETHER = 1 << 20
 #: What may be broadcast: rows of a few numbers, items of lists.
-PAIR_ROWS, LIST_ITEMS = 200_000, 2_000_000
+PAIR_ROWS, LIST_ITEMS = 1_000_000, 2_000_000
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[9, 10, 32]] = True
@@ -41,8 +45,9 @@ POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
 FAR = np.uint64(0xD1342543DE82EF95)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(number, doc_id, text) and, if there are other columns, `rest`, a struct of them; and the bits that a line number may take.
+def numbered(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(number, doc_id, text) and, if there are other columns, `rest`, a struct of them; the bits that a line number may take, and those for
+    buckets of words.
     Numbers are in the order of doc_id and free of repeats.
 
     The number is the doc_id itself, if all are there, different and small enough to leave these bits. Else it is the place of (doc_id,
@@ -51,17 +56,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.struct(*rest).alias("rest") for _ in rest[:1]))
     rest = own.columns[2:]
-    each = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"))
-    seen = each.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.max("longest").alias("longest"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    each = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    seen = each.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.max("longest").alias("longest"), F.sum("size").alias("size"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bits = max(1, int(seen["longest"] or 0).bit_length())
+    spread = min(max(int(seen["size"] or 0).bit_length() - 7, BUCKET_BITS[0]), BUCKET_BITS[1])
     if not seen["nulls"] and seen["n"] in (None, 1) and (seen["low"] or 0) >= 0 and (seen["high"] or 0) < 1 << (63 - bits):
-        return own.select(F.col("doc_id").alias("number"), "doc_id", "text", *rest), bits
+        return own.select(F.col("doc_id").alias("number"), "doc_id", "text", *rest), bits, spread
     marked = own.select("doc_id", F.xxhash64("text").alias("mark"), "text", *rest).dropDuplicates(["doc_id", "mark"])
     placed = cut(marked.select("doc_id", "mark").orderBy(F.asc_nulls_first("doc_id"), "mark").select("*", F.monotonically_increasing_id().alias("place")))
     share, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     widest = (placed.agg(F.max(at)).first()[0] or 0) + 1
     numbers = placed.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), (share * widest + at).alias("number"))
-    return marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("number", "doc_id", "text", *rest), bits
+    return marked.join(numbers, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("number", "doc_id", "text", *rest), bits, spread
 
 
 def pieces(numbers: list[int], texts: list[str], bits: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -118,85 +124,103 @@ def word_sets(place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key, start, np.diff(start, append=len(key)), place[start]
 
 
-def prefix_links(n: np.ndarray) -> np.ndarray:
-    """How many links of a set of n words, from the rarest on, hold one in common with any set that reaches the threshold.
+def signatures(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place, size): what sets of n words that begin at `start` meet others by: their rare words and, of size 2, their links of frequent
+    words, two that follow each other. `key` holds the words from the rarest on, the rarity rank in the upper 8 bits.
 
-    Sets of n and m words that share o of them have o - 1 shared words followed by a shared one, and each of the n + m - 2 o others parts
-    one such pair at most: 3 o - 1 - n - m links in common are left, with o >= 4 (n + m) / 9 at least (n + 4 n / 5) / 3 - 1 of the n - 1.
+    Let two sets that reach the threshold share o words, and a and b be those that only one of them has: o >= 4 (a + b), so 5 a + 4 b <= n.
+    If the rarest shared word is a rare one, no more than a <= n / 5 words of the set come before it. Else all r rare words are among the
+    a. Of the n - r - 1 links of the rest, o - 1 - (a - r) - b at least are shared, as each of the other words parts one pair of shared ones at
+    most; so a shared one is among the first 2 a + b - 2 r + 1 <= 2 n / 5 - 2 r + 1. A word that occurs once meets none.
     """
-    common = -(-(n - (-NUMERATOR * n // DENOMINATOR)) // 3) - 1
-    return np.where(n >= LINKED, n - common, 0)
-
-
-def least_links(n: Column, m: Column) -> Column:
-    """Links that the prefixes of sets of n and m words share at least if the sets reach the threshold: all that they share, but for those
-    behind the prefix that ends first."""
-    common = lambda x: F.ceil((x + F.ceil(x * NUMERATOR / DENOMINATOR - 1e-9)) / 3 - 1e-9) - 1
-    return F.greatest(3 * least_shared(n, m) - 1 - n - m - F.greatest(common(n), common(m)) + 1, F.lit(1))
-
-
-MARKS = "id long, h long, g long, n int, bits long, more long"
+    place = np.arange(len(key)) - np.repeat(start, n)
+    rank = (key >> np.uint64(56)).astype(np.int64)
+    r = np.add.reduceat((rank <= RARE).astype(np.int64), start)
+    of = lambda each: np.repeat(each, n)
+    alone = (rank > ONCE) & (rank <= RARE) & (place <= of(n // 5))
+    count = np.where(5 * r <= n, np.minimum(2 * n // 5 - 2 * r + 1, n - r - 1), 0)
+    linked = (place >= of(r)) & (place < of(r + count))
+    size = alone + 2 * linked
+    found = np.flatnonzero(size)
+    return of(np.arange(len(n)))[found], place[found], size[found]
+
+
+MARKS = "id long, h long, g long"
 Batches = Iterator[pa.RecordBatch]
 
 
-def marks(own: DataFrame, bits: int) -> DataFrame:
-    """A row per line that has words (`MARKS`): two hashes of its set, the set's size and a sketch of 128 bits, of which each word flips
-    one; and rows without an id, h being a bucket of words and g how often words of a task fall into it."""
+def marks(own: DataFrame, bits: int, spread: int) -> DataFrame:
+    """A row per line that has words (`MARKS`): its id and two hashes of its set; and rows without an id, h being one of 2 ** `spread` buckets
+    of words and g how many words of the task fall into it."""
 
-    def look(batches: Batches) -> Batches:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "h", "g"])
 
-        def rows(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 3 else pa.int64()) for k, c in enumerate(columns)], names=["id", "h", "g", "n", "bits", "more"])
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        seen, at = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in parts]), len(seen)).astype(np.int64)
+        return rows([None] * len(seen), seen, counts)
 
+    def look(batches: Batches) -> Batches:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for ids, parts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
-                place, h, line_ids = line_words(ids, parts)
+            for ids, texts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
+                place, h, line_ids = line_words(ids, texts)
                 if not len(h):
                     continue
-                counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-                key, start, n, line = word_sets(place, h)
-                bit, high = np.uint64(1) << (key & np.uint64(63)), key & np.uint64(64) != 0
-                sketch = [np.bitwise_xor.reduceat(np.where(high == half, bit, np.uint64(0)), start).view(np.int64) for half in (False, True)]
-                yield rows(line_ids[line], np.add.reduceat(mixed(key), start).view(np.int64), np.add.reduceat(mixed(key ^ FAR), start).view(np.int64), n, *sketch)
-        seen = np.flatnonzero(counts)
-        nothing = [None] * len(seen)
-        yield rows(nothing, seen, counts[seen], nothing, nothing, nothing)
+                parts.append(np.unique((h >> np.uint64(64 - spread)).astype(np.int64), return_counts=True))
+                key, start, _, line = word_sets(place, h)
+                yield rows(line_ids[line], np.add.reduceat(mixed(key), start).view(np.int64), np.add.reduceat(mixed(key ^ FAR), start).view(np.int64))
+            if sum(len(s) for s, _ in parts) > COUNTED:
+                yield counted(parts)
+                parts = []
+        if parts:
+            yield counted(parts)
 
     return own.select("number", "text").mapInArrow(look, MARKS)
 
 
-def rarity(marked: DataFrame) -> tuple[np.ndarray, int]:
-    """The rarity rank of each bucket of words (a step is a factor of about 1.4), and how many words there are. One row a bucket reaches
-    the driver."""
-    ranks, words = np.zeros(1 << BUCKET_BITS, np.uint64), 0
-    for r in marked.where("id is null").groupBy("h").agg(F.sum("g").alias("n")).collect():
-        ranks[r["h"]] = min(126, int(2 * math.log2(r["n"] + 1)))
-        words += r["n"]
+def rarity(marked: DataFrame, spread: int) -> tuple[np.ndarray, int]:
+    """The rarity rank of each bucket of words, and how many words there are. Of a bucket with more than one word, one number reaches the
+    driver."""
+    counts = cut_table(marked.where("id is null").groupBy("h").agg(F.sum("g").alias("n")).where("n > 1"))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    rank = F.least(F.lit(126), F.floor(2 * F.log2(F.col("n") + 1)))
+    packed = counts.select((F.shiftleft("h", 8) + rank).alias("x")).toArrow().column("x").to_numpy()
+    ranks = np.full(1 << spread, ONCE, np.uint8)
+    ranks[packed >> 8] = packed & 255
     return ranks, words
 
 
-def links(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFrame:
-    """(id, n, links) for each line of at least `LINKED` different words: the hashes of the links of its prefix, in order. They have as
-    many bits as tell the links of so many words apart: what meets by chance is sorted out later, and short hashes shuffle cheaply."""
-    spare = np.uint64(max(1, 64 - words.bit_length() - 7))
+def entries(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFrame:
+    """(id, bits, t, at): for each line of at least `LINKED` different words that may meet another a sketch of its set, of which each word
+    flips one of 64 bits, and by items of the lists its `signatures` as hashes, and n << 32 | place. The hashes have as many bits as tell so
+    many words apart: what meets by chance is sorted out later, and short hashes shuffle cheaply."""
+    spare = np.uint64(max(1, 64 - int(words).bit_length() - 7))
+    shift = np.uint64(64 - (len(ranks).bit_length() - 1))
 
     def look(batches: Batches) -> Batches:
         for batch in batches:
-            for ids, parts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
-                place, h, line_ids = line_words(ids, parts)
+            for ids, texts in pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bits):
+                place, h, line_ids = line_words(ids, texts)
                 if not len(h):
                     continue
-                key, start, n, line = word_sets(place, ranks[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8))
-                wide = n >= LINKED
-                start, n, line = start[wide], n[wide], line[wide]
-                count = prefix_links(n)
-                offsets = np.concatenate([[0], np.cumsum(count)])
-                at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], count)
-                t = mixed(key[at] + mixed(key[at + 1] ^ FAR)) >> spare if len(at) else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(line_ids[line]), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(t.view(np.int64)))], names=["id", "n", "links"])
+                key, start, n, line = word_sets(place, ranks[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8))
+                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), start)
+                which, at, size = signatures(key, start, n)
+                wide = n[which] >= LINKED
+                which, at, size = which[wide], at[wide], size[wide]
+                if not len(which):
+                    continue
+                first = start[which] + at
+                follows = np.where(size > 1, mixed(key[np.minimum(first + 1, len(key) - 1)] ^ FAR), np.uint64(0))
+                t = mixed(key[first] + follows) >> spare
+                kept, offsets = np.unique(which, return_index=True)
+                offsets = pa.array(np.append(offsets, len(which)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (t.view(np.int64), n[which] << 32 | at)]
+                yield pa.RecordBatch.from_arrays([pa.array(line_ids[line[kept]]), pa.array(sketch[kept].view(np.int64)), *lists], names=["id", "bits", "t", "at"])
 
-    return own.select("number", "text").mapInArrow(look, "id long, n int, links array<long>")
+    return own.select("number", "text").mapInArrow(look, "id long, bits long, t array<long>, at array<long>")
 
 
 def least_shared(n: Column, m: Column) -> Column:
@@ -204,11 +228,13 @@ def least_shared(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * (NUMERATOR / (NUMERATOR + DENOMINATOR)) - 1e-9)
 
 
-def may_reach(a: Column, b: Column) -> Column:
-    """Length and positional filters for two lines with a link in common: `a` and `b` are n << 32 | place of the link."""
-    n, m, i, j = (F.shiftright(a, 32), F.shiftright(b, 32), a.bitwiseAND(0xFFFFFFFF), b.bitwiseAND(0xFFFFFFFF))
+def may_reach(a: str, b: str) -> Column:
+    """Length and positional filters, and that of the sketches, for two lines with a signature in common: `a` and `b` begin the names of n <<
+    32 | place of it and of the sketch."""
+    (x, y), differ = (F.col(f"{side}_at") for side in (a, b)), F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits")))
+    n, m, i, j = (F.shiftright(x, 32), F.shiftright(y, 32), x.bitwiseAND(0xFFFFFFFF), y.bitwiseAND(0xFFFFFFFF))
     lengths = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
-    return lengths & (F.least(i, j) + F.least(n - i, m - j) >= least_shared(n, m))
+    return lengths & (F.least(i, j) + F.least(n - i, m - j) >= least_shared(n, m)) & (differ <= n + m - 2 * least_shared(n, m))
 
 
 def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
@@ -231,50 +257,46 @@ def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     return held.mapInArrow(look, "id long, words array<long>")
 
 
-def similar_pairs(tried: DataFrame, marked: DataFrame, own: DataFrame, bits: int) -> DataFrame:
-    """Those of `tried` (late, early) whose lines reach the threshold: by their sketches first, then by the hashes of all their words."""
-    sketch = lambda side: marked.where("id is not null").select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "bits", "more")])
-    both = small_broadcast(tried, PAIR_ROWS).join(sketch("late"), "late")
-    both = small_broadcast(cut(both), PAIR_ROWS).join(sketch("early"), "early")
-    differ = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits"))) + F.bit_count(F.col("late_more").bitwiseXOR(F.col("early_more")))
-    n, m = F.col("late_n"), F.col("early_n")
-    near = cut(both.where(differ <= n + m - 2 * least_shared(n, m)).select("late", "early"))
-    words = cut_table(chosen_sets(own, near.select(F.explode(F.array("late", "early")).alias("id")).distinct(), bits))
+def similar_pairs(near: DataFrame, own: DataFrame, bits: int) -> DataFrame:
+    """Those of `near` (late, early), which is cut, whose lines reach the threshold, by the hashes of all their words."""
+    asked = near.select(F.col("late").alias("id")).union(near.select("early")).distinct()
+    words = cut_table(chosen_sets(own, asked, bits))
     known = near.join(words.select(F.col("id").alias("late"), F.col("words").alias("x")), "late").join(words.select(F.col("id").alias("early"), F.col("words").alias("y")), "early")
     sized = known.select("late", "early", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
     return sized.where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("n") - F.col("both"))).select("late", "early")
 
 
-def removed_lines(own: DataFrame, bits: int) -> DataFrame:
+def removed_lines(own: DataFrame, bits: int, spread: int) -> DataFrame:
     """(id): the lines of `numbered` documents that an earlier line matches, removed itself or not."""
-    marked = cut_table(marks(own, bits))
+    marked = cut_table(marks(own, bits, spread))
     lines = marked.where("id is not null")
     repeated = cut(lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h", "g", "first"))
-    copies = cut(lines.select("id", "h", "g").join(small_broadcast(repeated, PAIR_ROWS), ["h", "g"]).where("id != first").select("id"))
-    firsts = links(own, bits, *rarity(marked)).join(copies, "id", "left_anti")
-    entries = firsts.select("id", "n", F.posexplode("links").alias("pos", "t")).select("t", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    # One shuffle serves both sides: the links are counted where they are, and most end here.
-    dealt = entries.repartition("t")
-    shared = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at")).where("lines > 1")
-    head_near = (F.col("id") != F.col("head")) & may_reach(F.col("at"), F.col("head_at"))
-    met = cut_table(dealt.join(shared.hint("shuffle_hash"), "t").select("t", "id", "at", "lines", "head", head_near.alias("near")).where("near or lines > 2 or id = head"))
-    # First each line meets the head that it shares most links with, then those that this does not remove meet all that are earlier.
-    votes = met.where("near").groupBy("id", "head").agg(F.count("*").alias("n"))
-    tried = cut(votes.groupBy("id").agg(F.max(F.struct("n", "head")).alias("x")).select(F.col("id").alias("late"), F.col("x.head").alias("early")))
-    by_first = cut(similar_pairs(tried, marked, own, bits).select(F.col("late").alias("id")).distinct())
-    side = lambda df, name: df.select("t", F.col("id").alias(name), F.col("at").alias(f"{name}_at"))
-    still = side(met.where("near or (lines > 2 and id != head)").join(by_first, "id", "left_anti"), "late")
-    together = still.join(side(met, "early"), "t").where((F.col("early") < F.col("late")) & may_reach(F.col("late_at"), F.col("early_at")))
-    counted = together.groupBy("late", "early", F.shiftright("late_at", 32).alias("n"), F.shiftright("early_at", 32).alias("m")).agg(F.count("*").alias("links"))
-    second = cut(counted.where(F.col("links") >= least_links(F.col("n"), F.col("m"))).select("late", "early"))
-    by_others = similar_pairs(second, marked, own, bits).select(F.col("late").alias("id")).distinct()
-    return copies.union(by_first).union(by_others)
+    copies = cut(lines.join(small_broadcast(repeated, PAIR_ROWS), ["h", "g"]).where("id != first").select("id"))
+    firsts = entries(own, bits, *rarity(marked, spread)).join(small_broadcast(copies, PAIR_ROWS), "id", "left_anti")
+    # One shuffle serves both sides: signatures are counted where they are, and most end here.
+    dealt = firsts.select("id", "bits", F.explode(F.arrays_zip("t", "at")).alias("x")).select("x.t", "id", "x.at", "bits").repartition("t")
+    heads = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at"), F.min_by("bits", "id").alias("head_bits")).where("lines > 1")
+    side = lambda df, name: df.select("t", F.col("id").alias(name), F.col("at").alias(f"{name}_at"), F.col("bits").alias(f"{name}_bits"))
+    own_head = side(dealt, "late").join(heads.hint("shuffle_hash"), "t")
+    near = (F.col("late") != F.col("head")) & may_reach("late", "head")
+    met = cut_table(own_head.select("t", F.col("late").alias("id"), F.col("late_at").alias("at"), F.col("late_bits").alias("bits"), "lines", "head", near.alias("near")).where("near or lines > 2"))
+    # First each line meets the head that it shares most signatures with, then those that this does not remove meet all that are earlier.
+    heads_met = met.where("near").groupBy("id", "head").agg(F.count("*").alias("n"))
+    tried = cut(heads_met.groupBy("id").agg(F.max_by("head", "n").alias("early")).select(F.col("id").alias("late"), "early"))
+    by_first = cut(similar_pairs(tried, own, bits).select(F.col("late").alias("id")).distinct())
+    left = small_broadcast(by_first, PAIR_ROWS)
+    others = met.where("near").select(F.col("id").alias("late"), F.col("head").alias("early")).distinct().join(left, F.col("late") == F.col("id"), "left_anti")
+    groups = met.where("lines > 2 and id != head")
+    still = side(groups.join(left, "id", "left_anti"), "late")
+    together = still.join(side(groups, "early"), "t").where((F.col("early") < F.col("late")) & may_reach("late", "early")).select("late", "early")
+    second = cut(together.union(others).distinct())
+    return copies.union(by_first).union(similar_pairs(second, own, bits).select(F.col("late").alias("id")).distinct())
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`numbered` documents, and (number, gone) with the line numbers to remove, sorted, for those that lose any."""
-    own, bits = numbered(docs)
-    removed = removed_lines(own.select("number", "doc_id", "text"), bits)
+    own, bits, spread = numbered(docs)
+    removed = removed_lines(own.select("number", "doc_id", "text"), bits, spread)
     gone = removed.groupBy(F.shiftright("id", bits).alias("number")).agg(F.sort_array(F.collect_set(F.col("id").bitwiseAND((1 << bits) - 1).cast("int"))).alias("gone"))
     return own, cut(gone)
 
