@@ -218,7 +218,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE, target_
     without a doc_id come first, different texts under one doc_id follow each other by a hash of the text. A text of more than `TOGETHER`
     characters is taken in parts, at whose ends paragraphs end. Other columns, whatever their names, are not looked at.
     """
-    own, bits = numbered(docs.select("doc_id", "text"))
+    own, bits, _ = numbered(docs.select("doc_id", "text"))
     size = int(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     names = own.select("number", "doc_id")
     units, kept = clustered(own.select("number", "text"), bits, size // 64, threshold, width, target_recall)
