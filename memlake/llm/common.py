@@ -57,6 +57,26 @@ def small_broadcast(df: DataFrame, most: int, list_col: str | None = None) -> Da
     return F.broadcast(df) if held <= most else df
 
 
+class BitTable:
+    """Which of the long numbers `ids` (not negative) of `df` may be there, as bits: a number that is there is never missed; others are taken for
+    one with a chance of 1 / `spare`, more if the table needed more than `most` bits. Spark gathers the bits, the driver gets the table."""
+
+    def __init__(self, df: DataFrame, id_col: str = "id", spare: int = 64, most: int = 1 << 29):
+        wanted = min(most, max(1 << 16, df.count() * spare))
+        self.modulus = int((1 << (wanted - 1).bit_length()) * 0.618) | 1  # no multiple or neighbour of a power of two, which ids are made with
+        at = F.col(id_col) % self.modulus
+        placed = df.select(F.shiftright(at, 15).alias("block"), at.bitwiseAND(32767).alias("at")).repartition("block")
+        found = placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+        table = np.zeros(((self.modulus >> 15) + 1, 4096), np.uint8)
+        for block, bits in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+            table[block] = np.frombuffer(bits, np.uint8)
+        self.table = table.ravel()
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = ids % self.modulus
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def hash_sample(df: DataFrame, wanted: int, *by: str) -> DataFrame:
     """About `wanted` rows of `df`, all if it has no more: those with the least hashes of the columns `by`, by a threshold taken from a
     count, so that nothing is sorted or gathered."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, mixed, small_broadcast
+from .common import BitTable, cut, cut_table, mixed
 from .components import connected_components
 from .linededup import TOGETHER, line_words, numbered, word_sets
 from .minhash import THRESHOLD, WIDTH, bands_for, coefficients, verify_blocks
@@ -31,7 +31,6 @@ LEAST_PASSAGE = 20
 ROWS, TARGET = 2, 0.99
 #: Buckets of so many sets at most are verified pair by pair in a join, larger ones in blocks of so many sets on average.
 SMALL, BLOCK = 16, 256
-LIST_ITEMS = 2_000_000
 SPACE = re.compile("[ \t\n]")
 Batches = Iterator[pa.RecordBatch]
 
@@ -131,26 +130,25 @@ def paragraphs(own: DataFrame, bits: int, bands: int, spare: int, width: int = W
 
 
 def shingle_sets(own: DataFrame, ids: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
-    """(id, shingles): the different shingles of the paragraphs `ids` (id). Only documents that hold such paragraphs are cut again."""
-    asked = cut(ids.groupBy(F.shiftright("id", bits).alias("holder")).agg(F.collect_list(F.col("id")).alias("asked")))
-    held = own.join(small_broadcast(asked, LIST_ITEMS, "asked"), F.col("number") == F.col("holder")).select("number", "text", "asked")
+    """(id, shingles): the different shingles of the paragraphs `ids` (id) and of a few others, which a join by id leaves out. The documents
+    are cut again where they are, so that their texts are not shuffled, however many paragraphs are asked for."""
+    asked = BitTable(ids)
 
     def look(batches: Batches) -> Batches:
         found = Paragraphs()
         for batch in batches:
-            wanted = dict(zip(batch.column(0).to_pylist(), batch.column(2), strict=True))
             for numbers, parts in parts_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found(numbers, parts)
-                here = np.unique(np.concatenate([wanted[k].values.to_numpy() for k in set(numbers)]))
-                keep = np.isin(found.number << bits | found.at, here) if len(found.start) else np.empty(0, bool)
+                own_ids = found.number << bits | found.at
+                keep = asked.has(own_ids)
                 if keep.any():
                     shingle, real = found.shingles(width)
                     owner = np.repeat(np.arange(len(keep)), found.n)
                     real &= keep[owner]
                     key, start, _, unit = word_sets(owner[real], shingle[real])
-                    yield pa.RecordBatch.from_arrays([pa.array((found.number << bits | found.at)[unit]), pa.ListArray.from_arrays(np.append(start, len(key)).astype(np.int32), pa.array(key.view(np.int64)))], names=["id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own_ids[unit]), pa.ListArray.from_arrays(np.append(start, len(key)).astype(np.int32), pa.array(key.view(np.int64)))], names=["id", "shingles"])
 
-    return held.mapInArrow(look, "id long, shingles array<long>")
+    return own.mapInArrow(look, "id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -170,7 +168,7 @@ def links_of(classes: DataFrame, own: DataFrame, bits: int, threshold: float, wi
     heads = dealt.groupBy("k", "band").agg(F.count("*").alias("members"), F.min("id").alias("head")).where("members > 1")
     met = cut_table(dealt.join(heads.hint("shuffle_hash"), ["k", "band"]))
     stars = cut(met.where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-    sets = cut_table(shingle_sets(own, met.select("id").distinct(), bits, width))
+    sets = cut_table(shingle_sets(own, met.select("id"), bits, width))
     near = cut(verified(stars, sets, threshold))
     rest = met.where("members > 2 and id != head").join(near.select(F.col("a").alias("id"), F.col("b").alias("head"), F.lit(True).alias("linked")), ["id", "head"], "left").where("linked is null")
     rest = cut(rest.select("k", "band", "id", "members"))

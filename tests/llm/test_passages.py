@@ -4,7 +4,7 @@ import pytest
 from test_minhash import brute, classes, noisy
 
 from memlake.llm import linededup, passages
-from memlake.llm.common import mixed
+from memlake.llm.common import BitTable, mixed
 
 DOCS = "doc_id long, text string, number long, id long, passage string"
 
@@ -96,3 +96,25 @@ def test_recall_of_passages(spark):
             rows.append((len(rows), " ".join(own)))
     found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found) >= 180 and all(k % 2 for k in found)
+
+
+def test_asked_paragraphs_are_found_where_the_texts_are(spark, rows):
+    """op8's disk: however many paragraphs are asked for, no text is joined or shuffled, and none of them is missed."""
+    df = spark.createDataFrame([(k, text or "") for k, text in enumerate(rows)], "number long, text string")
+    asked = [k << 20 | at for k, text in enumerate(rows) for at, _ in cut_up(text)][::3]
+    found = passages.shingle_sets(df, spark.createDataFrame([(i,) for i in asked], "id long"), 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = [r["id"] for r in found.collect()]
+    assert len(got) == len(set(got)) and set(asked) <= set(got) and len(got) < 1.2 * len(asked)
+
+
+def test_bit_table_misses_none(spark):
+    rng = random.Random(8)
+    ids = [rng.randrange(1 << 55) for _ in range(3000)] + [0, (1 << 62) + 5]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    other = passages.np.array([rng.randrange(1 << 55) for _ in range(3000)])
+    for most in (1 << 16, 1 << 29):
+        table = BitTable(df, most=most)
+        assert table.has(passages.np.array(ids)).all() and table.has(other).mean() < (0.1 if most == 1 << 16 else 0.04)
+    assert not BitTable(df.where("id < 0")).has(other).any()
