@@ -4,7 +4,7 @@ A line is the set of its words. Equal sets are one class from the start, represe
 by rarity. Two sets that reach the threshold share one of their first words that is rare, or else one of the first links of frequent words,
 the pairs that follow each other in the order (`signatures`). Rare words bring few lines together whatever the corpus, and links are far
 rarer than frequent words, so most entries end as soon as they are counted. What is left passes length and positional filters and a
-comparison of 64-bit sketches inside the join, then the exact comparison. Each signature first meets the earliest line with it; only lines that
+comparison of 128-bit sketches inside the join, then the exact comparison. Each signature first meets the earliest line with it; only lines that
 no earliest line removes meet the others, so a group of thousands of variants of one line stays linear as long as they resemble its first.
 
 Splitting, hashing and sorting words is numpy work inside tasks; the joins, counts and decisions are Spark's. (The forms without Python,
@@ -35,6 +35,8 @@ ONCE, RARE = 2, 8
 COUNTED = 4_000_000
 #: Characters that are looked at together; a longer line is looked at alone.
 TOGETHER = 1 << 20
+#: Lines of a signature from which on a pair of lines ends unless it is their least common one of such signatures.
+LARGE = 16
 #: What may be broadcast: rows of a few numbers, items of lists.
 PAIR_ROWS, LIST_ITEMS = 1_000_000, 2_000_000
 
@@ -193,8 +195,8 @@ def rarity(marked: DataFrame, spread: int) -> tuple[np.ndarray, int]:
 
 
 def entries(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFrame:
-    """(id, bits, t, at): for each line of at least `LINKED` different words that may meet another a sketch of its set, of which each word
-    flips one of 64 bits, and by items of the lists its `signatures` as hashes, and n << 32 | place. The hashes have as many bits as tell so
+    """(id, bits, more, t, at): for each line of at least `LINKED` different words that may meet another a sketch of its set, of which each word
+    flips one of 128 bits, and by items of the lists its `signatures` as hashes, and n << 32 | place. The hashes have as many bits as tell so
     many words apart: what meets by chance is sorted out later, and short hashes shuffle cheaply."""
     spare = np.uint64(max(1, 64 - int(words).bit_length() - 7))
     shift = np.uint64(64 - (len(ranks).bit_length() - 1))
@@ -206,7 +208,8 @@ def entries(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFra
                 if not len(h):
                     continue
                 key, start, n, line = word_sets(place, ranks[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8))
-                sketch = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), start)
+                bit, upper = np.uint64(1) << (key & np.uint64(63)), key & np.uint64(64) != 0
+                sketch = [np.bitwise_xor.reduceat(np.where(there, bit, np.uint64(0)), start) for there in (~upper, upper)]
                 which, at, size = signatures(key, start, n)
                 wide = n[which] >= LINKED
                 which, at, size = which[wide], at[wide], size[wide]
@@ -218,9 +221,9 @@ def entries(own: DataFrame, bits: int, ranks: np.ndarray, words: int) -> DataFra
                 kept, offsets = np.unique(which, return_index=True)
                 offsets = pa.array(np.append(offsets, len(which)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (t.view(np.int64), n[which] << 32 | at)]
-                yield pa.RecordBatch.from_arrays([pa.array(line_ids[line[kept]]), pa.array(sketch[kept].view(np.int64)), *lists], names=["id", "bits", "t", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(line_ids[line[kept]]), *(pa.array(x[kept].view(np.int64)) for x in sketch), *lists], names=["id", "bits", "more", "t", "at"])
 
-    return own.select("number", "text").mapInArrow(look, "id long, bits long, t array<long>, at array<long>")
+    return own.select("number", "text").mapInArrow(look, "id long, bits long, more long, t array<long>, at array<long>")
 
 
 def least_shared(n: Column, m: Column) -> Column:
@@ -231,10 +234,10 @@ def least_shared(n: Column, m: Column) -> Column:
 def may_reach(a: str, b: str) -> Column:
     """Length and positional filters, and that of the sketches, for two lines with a signature in common: `a` and `b` begin the names of n <<
     32 | place of it and of the sketch."""
-    (x, y), differ = (F.col(f"{side}_at") for side in (a, b)), F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits")))
+    (x, y), (bits, more) = (F.col(f"{side}_at") for side in (a, b)), (F.bit_count(F.col(f"{a}_{half}").bitwiseXOR(F.col(f"{b}_{half}"))) for half in ("bits", "more"))
     n, m, i, j = (F.shiftright(x, 32), F.shiftright(y, 32), x.bitwiseAND(0xFFFFFFFF), y.bitwiseAND(0xFFFFFFFF))
     lengths = DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
-    return lengths & (F.least(i, j) + F.least(n - i, m - j) >= least_shared(n, m)) & (differ <= n + m - 2 * least_shared(n, m))
+    return lengths & (F.least(i, j) + F.least(n - i, m - j) >= least_shared(n, m)) & (bits + more <= n + m - 2 * least_shared(n, m))
 
 
 def chosen_sets(own: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
@@ -266,6 +269,25 @@ def similar_pairs(near: DataFrame, own: DataFrame, bits: int) -> DataFrame:
     return sized.where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("n") - F.col("both"))).select("late", "early")
 
 
+def side(lines: DataFrame, name: str) -> DataFrame:
+    """Rows (t, id, at, bits, more) of lines with their signatures as one side of a join, whose columns begin with `name`."""
+    return lines.select("t", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in lines.columns if c in ("at", "bits", "more", "ts")))
+
+
+def meeting_pairs(groups: DataFrame, removed: DataFrame) -> DataFrame:
+    """(late, early): the lines of `groups` (t, id, at, bits, more, lines) that are not `removed` (id) with the earlier ones that they share a
+    signature with and `may_reach`. Lines of a large signature share many of them; a pair of such lines is a row for one of these only."""
+    large = groups.where(F.col("lines") > LARGE)
+    large = large.join(large.groupBy("id").agg(F.collect_set("t").alias("ts")), "id")
+    near = (F.col("early") < F.col("late")) & may_reach("late", "early")
+    least = F.array_min(F.array_intersect("late_ts", "early_ts")) == F.col("t")
+
+    def met(among: DataFrame, condition: Column) -> DataFrame:
+        return side(among.join(removed, "id", "left_anti"), "late").join(side(among, "early"), "t").where(condition).select("late", "early")
+
+    return met(groups.where(F.col("lines") <= LARGE), near).union(met(large, near & least))
+
+
 def removed_lines(own: DataFrame, bits: int, spread: int) -> DataFrame:
     """(id): the lines of `numbered` documents that an earlier line matches, removed itself or not."""
     marked = cut_table(marks(own, bits, spread))
@@ -274,12 +296,11 @@ def removed_lines(own: DataFrame, bits: int, spread: int) -> DataFrame:
     copies = cut(lines.join(small_broadcast(repeated, PAIR_ROWS), ["h", "g"]).where("id != first").select("id"))
     firsts = entries(own, bits, *rarity(marked, spread)).join(small_broadcast(copies, PAIR_ROWS), "id", "left_anti")
     # One shuffle serves both sides: signatures are counted where they are, and most end here.
-    dealt = firsts.select("id", "bits", F.explode(F.arrays_zip("t", "at")).alias("x")).select("x.t", "id", "x.at", "bits").repartition("t")
-    heads = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at"), F.min_by("bits", "id").alias("head_bits")).where("lines > 1")
-    side = lambda df, name: df.select("t", F.col("id").alias(name), F.col("at").alias(f"{name}_at"), F.col("bits").alias(f"{name}_bits"))
+    dealt = firsts.select("id", "bits", "more", F.explode(F.arrays_zip("t", "at")).alias("x")).select("x.t", "id", "x.at", "bits", "more").repartition("t")
+    heads = dealt.groupBy("t").agg(F.count("*").alias("lines"), F.min("id").alias("head"), F.min_by("at", "id").alias("head_at"), F.min_by("bits", "id").alias("head_bits"), F.min_by("more", "id").alias("head_more")).where("lines > 1")
     own_head = side(dealt, "late").join(heads.hint("shuffle_hash"), "t")
     near = (F.col("late") != F.col("head")) & may_reach("late", "head")
-    met = cut_table(own_head.select("t", F.col("late").alias("id"), F.col("late_at").alias("at"), F.col("late_bits").alias("bits"), "lines", "head", near.alias("near")).where("near or lines > 2"))
+    met = cut_table(own_head.select("t", F.col("late").alias("id"), F.col("late_at").alias("at"), F.col("late_bits").alias("bits"), F.col("late_more").alias("more"), "lines", "head", near.alias("near")).where("near or lines > 2"))
     # First each line meets the head that it shares most signatures with, then those that this does not remove meet all that are earlier.
     heads_met = met.where("near").groupBy("id", "head").agg(F.count("*").alias("n"))
     tried = cut(heads_met.groupBy("id").agg(F.max_by("head", "n").alias("early")).select(F.col("id").alias("late"), "early"))
@@ -287,8 +308,7 @@ def removed_lines(own: DataFrame, bits: int, spread: int) -> DataFrame:
     left = small_broadcast(by_first, PAIR_ROWS)
     others = met.where("near").select(F.col("id").alias("late"), F.col("head").alias("early")).distinct().join(left, F.col("late") == F.col("id"), "left_anti")
     groups = met.where("lines > 2 and id != head")
-    still = side(groups.join(left, "id", "left_anti"), "late")
-    together = still.join(side(groups, "early"), "t").where((F.col("early") < F.col("late")) & may_reach("late", "early")).select("late", "early")
+    together = meeting_pairs(groups, left)
     second = cut(together.union(others).distinct())
     return copies.union(by_first).union(similar_pairs(second, own, bits).select(F.col("late").alias("id")).distinct())
 
